@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,9 +63,7 @@ def starts_with_any(name: Column, prefixes: list[str]) -> Column:
     """True if one of the prefixes matches; no prefix at all selects everything."""
     if not prefixes:
         return F.lit(True)
-    return F.greatest(*[F.startswith(name, F.lit(p)) for p in prefixes]) if len(
-        prefixes
-    ) > 1 else F.startswith(name, F.lit(prefixes[0]))
+    return reduce(or_, [F.startswith(name, F.lit(p)) for p in prefixes])
 
 
 def raw_task_pattern(unit: str) -> str:
