@@ -62,7 +62,7 @@ def from_labels(labels: Column) -> tuple[Column, Column]:
 def from_interval(lo: Column, hi: Column, threshold: Column) -> tuple[Column, Column]:
     """Wholly below the threshold is {1}, wholly above is {0}, else both (strict)."""
     below, above = threshold > hi, threshold < lo
-    return ~below, below | ~above
+    return above | ~below, below | ~above
 
 
 def gate_label(ok_cp: Column, ok_iv: Column, w_cp: Column, w_iv: Column) -> Column:

@@ -59,7 +59,7 @@ def name_token(address: Column) -> Column:
 
 def option_list(text: Column) -> Column:
     """Comma-separated options as an array, trimmed, without empty ones."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda part: F.trim(part))
     return F.filter(parts, lambda part: part != "")
 
 

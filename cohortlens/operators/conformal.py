@@ -57,29 +57,44 @@ def sets_from(df: DataFrame, q: Column) -> DataFrame:
     return df.withColumns({"has0": member[0], "has1": member[1]})
 
 
-def lac_sets(rows: DataFrame, cal: DataFrame, alpha: float) -> DataFrame:
-    """Prediction sets of ``rows (p1)`` with one limit for all."""
-    limit = small_side(lac_quantile(cal, alpha).select(F.col("q").alias("_q")))
-    return sets_from(rows.crossJoin(limit), F.col("_q")).drop("_q")
+def _attach(rows: DataFrame, limits: DataFrame, groups: list[str]) -> DataFrame:
+    limits = small_side(limits)
+    return rows.join(limits, groups, "left") if groups else rows.crossJoin(limits)
 
 
-def partition_limits(cal: DataFrame, alpha: float, part: str) -> DataFrame:
-    """Per partition: its limit, its calibration rows, and whether both classes occur.
+def lac_sets(
+    rows: DataFrame, cal: DataFrame, alpha: float, groups: list[str] | None = None
+) -> DataFrame:
+    """Prediction sets of ``rows (p1)`` with one limit for all, or for each of ``groups``
+    (the horizons, say)."""
+    groups = groups or []
+    limit = lac_quantile(cal, alpha, groups).select(*groups, F.col("q").alias("_q"))
+    return sets_from(_attach(rows, limit, groups), F.col("_q")).drop("_q")
 
-    One pass: the global limit is read off the sum of the partition histograms.
-    """
+
+def partition_limits(
+    cal: DataFrame, alpha: float, part: str, groups: list[str] | None = None
+) -> DataFrame:
+    """Per partition: its limit, its calibration rows, its lowest class, and whether both
+    classes occur."""
+    keys = [*(groups or []), part]
     scored = cal.withColumn("score", true_score(F.col("p1"), F.col("y")))
-    hist = scored.groupBy(part, "score").agg(
+    hist = scored.groupBy(*keys, "score").agg(
         F.count("*").alias("n"), F.min("y").alias("_y0"), F.max("y").alias("_y1")
     )
-    classes = hist.groupBy(part).agg(
+    classes = hist.groupBy(*keys).agg(
         F.min("_y0").alias("only_class"), (F.min("_y0") < F.max("_y1")).alias("both_classes")
     )
-    return quantile_of(hist, [part], alpha).join(classes, part)
+    return quantile_of(hist, keys, alpha).join(classes, keys)
 
 
 def mondrian_sets(
-    rows: DataFrame, cal: DataFrame, alpha: float, part: str, fallback: str = "global"
+    rows: DataFrame,
+    cal: DataFrame,
+    alpha: float,
+    part: str,
+    fallback: str = "global",
+    groups: list[str] | None = None,
 ) -> DataFrame:
     """Prediction sets with one limit per partition.
 
@@ -89,9 +104,10 @@ def mondrian_sets(
     """
     if fallback not in ("global", "only_class"):
         raise ValueError(f"unknown fallback {fallback!r}")
-    limits = small_side(partition_limits(cal, alpha, part).drop("n_cal"))
-    overall = small_side(lac_quantile(cal, alpha).select(F.col("q").alias("_q_all")))
-    joined = rows.join(limits, part, "left").crossJoin(overall)
+    groups = groups or []
+    limits = partition_limits(cal, alpha, part, groups).drop("n_cal")
+    overall = lac_quantile(cal, alpha, groups).select(*groups, F.col("q").alias("_q_all"))
+    joined = _attach(_attach(rows, limits, [*groups, part]), overall, groups)
     own = F.when(F.col("both_classes"), F.col("q"))
     out = sets_from(joined, F.coalesce(own, F.col("_q_all")))
     if fallback == "only_class":
