@@ -198,7 +198,7 @@ def trailing_residual_offset(spark, sf_dir):
       round(m[CAST(floor(hi_q * k) AS INTEGER) + 1] + (m[CAST(ceil(hi_q * k) AS INTEGER) + 1] - m[CAST(floor(hi_q * k) AS INTEGER) + 1]) * (hi_q * k - floor(hi_q * k)), 9) AS hi
       FROM q),
     best AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(hi - lo, 9), j) AS r FROM v)
-    SELECT entity, round(hi - lo, 4) AS width, round(lo, 4) AS lo, round(hi, 4) AS hi FROM best WHERE r = 1"""
+    SELECT entity, round(hi - lo, 6) AS width, round(lo, 6) AS lo, round(hi, 6) AS hi FROM best WHERE r = 1"""
 )
 def min_width_beta(spark, sf_dir):
     """Narrowest range that leaves a tenth of an entity's marks outside."""
@@ -206,9 +206,7 @@ def min_width_beta(spark, sf_dir):
     packed = rows.groupBy("entity").agg(F.collect_list("mark").alias("m"))
     best = sequential.narrowest_range(F.col("m"), ALPHA)
     out = packed.select("entity", best.alias("b"))
-    return out.select(
-        "entity", *[F.round(F.col(f"b.{c}"), 4).alias(c) for c in ("width", "lo", "hi")]
-    )
+    return out.select("entity", "b.width", "b.lo", "b.hi")
 
 
 # ---- threshold and labels ------------------------------------------------------------
