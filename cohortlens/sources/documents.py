@@ -38,8 +38,11 @@ def read_documents(
         .json(path)
         .withColumn("path", F.col("_metadata.file_path"))
     )
-    good = raw.where(F.col(BAD).isNull()).drop(BAD)
-    return good, raw.where(F.col(BAD).isNotNull()).select("path", BAD)
+    # A document without its list holds no rows.
+    good = raw.where(F.col(BAD).isNull() & F.col(raw.columns[0]).isNotNull()).drop(BAD)
+    # Spark wants a data column next to the record of the failure.
+    partly = F.col(raw.columns[0]).isNotNull().alias("partly_read")
+    return good, raw.where(F.col(BAD).isNotNull()).select("path", BAD, partly)
 
 
 def _metrics(result: Column, vocab: Column) -> Column:
@@ -63,7 +66,8 @@ def _metrics(result: Column, vocab: Column) -> Column:
         (f"style{c.capitalize()}", summary["value"][c]) for c in ("fatal", "major", "minor", "info")
     ]
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in fixed])
-    return F.concat(F.transform(vocab, task), cells)
+    packed = "array<struct<metric:string,value:double>>"
+    return F.concat(F.transform(vocab, task).cast(packed), cells.cast(packed))
 
 
 def document_records(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
