@@ -20,7 +20,7 @@ def last_positive(df: DataFrame, keys: list[str], mark: str = "mark") -> DataFra
 def last_n_positive(df: DataFrame, keys: list[str], n: int, mark: str = "mark") -> DataFrame:
     """The ``n`` latest positive marks, newest first (one row per entity and step in)."""
     pair = F.when(F.col(mark) > 0, F.struct((-F.col("step_idx")).alias("i"), F.col(mark).alias("m")))
-    newest = F.slice(F.array_sort(F.collect_list(pair)), 1, n)
+    newest = F.slice(F.sort_array(F.collect_list(pair)), 1, n)
     return df.groupBy(*keys).agg(F.transform(newest, lambda p: p["m"]).alias("last_marks"))
 
 
@@ -106,7 +106,7 @@ def trailing_window(df: DataFrame, value: str, w: int, index: str = "idx") -> Da
     """One row: the last ``w`` values of the sequence, zeros in front if there are fewer."""
     last = df.orderBy(F.col(index).desc()).limit(w).select(index, value)
     kept = F.transform(
-        F.array_sort(F.collect_list(F.struct(index, value))), lambda p: p[value]
+        F.sort_array(F.collect_list(F.struct(index, value))), lambda p: p[value]
     )
     packed = last.agg(kept.alias("_kept"))
     pad = F.array_repeat(F.lit(0.0), F.lit(w) - F.size("_kept"))

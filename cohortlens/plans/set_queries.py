@@ -46,6 +46,11 @@ def last_marks(spark, sf_dir):
     return windows.last_positive(cells(spark, sf_dir, origin), ["entity", "grp"])
 
 
+def kept_last_marks(spark, sf_dir):
+    """The same, written once: a threshold reads the last marks several times."""
+    return durable(last_marks(spark, sf_dir))
+
+
 @query(f"WITH {SQL_LAST} SELECT entity, grp, round(last_mark, 6) AS last_mark FROM last")
 def last_positive_mark(spark, sf_dir):
     """Latest positive mark."""
@@ -119,16 +124,16 @@ def next_step_feature(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_DENSE}, ns AS (SELECT unnest(range(1, 11)) AS n)
+    f"""WITH {SQL_DENSE}, ns AS (SELECT unnest(range(1, (SELECT n + 1 FROM n_steps))) AS n)
     SELECT entity, n, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum({_CELL_SUM}) AS BIGINT) AS tests
     FROM dense JOIN ns ON step_idx < n GROUP BY entity, n"""
 )
 def cumulative_features(spark, sf_dir):
-    """What is known after the first n steps, for n up to ten."""
+    """What is known after the first n steps, for every n."""
     rows, _ = dense(spark, sf_dir)
     upto = frames.entity_window().rowsBetween(Window.unboundedPreceding, 0)
     tests = sum((F.col(t) * (i + 1) for i, t in enumerate(TESTS)), F.lit(0))
-    return rows.where(F.col("step_idx") < 10).select(
+    return rows.select(
         "entity",
         (F.col("step_idx") + 1).alias("n"),
         F.sum("cents").over(upto).alias("cents"),
@@ -155,7 +160,8 @@ _SEQ = f"""{SQL_DENSE}, seq AS (SELECT entity, step_idx, cents,
 
 def _sequence(spark, sf_dir):
     rows, _ = dense(spark, sf_dir)
-    return windows.sequence_index(rows.select("entity", "step_idx", "cents"), "entity")
+    kept = durable(rows.select("entity", "step_idx", "cents"))
+    return windows.sequence_index(kept, "entity")
 
 
 @query(
@@ -182,7 +188,7 @@ def trailing_residual_offset(spark, sf_dir):
     """Quantile of the newest values of the sequence."""
     scaled = _sequence(spark, sf_dir).select("idx", (F.col("cents") / 100.0).alias("r"))
     newest = windows.trailing_window(scaled, "r", 300)
-    ordered = F.array_sort("window")
+    ordered = F.sort_array("window")
     return newest.select(
         F.size("window").alias("n"),
         sequential.sorted_quantile(ordered, F.lit(1.0 - ALPHA)).alias("offset_q"),
@@ -203,7 +209,7 @@ def trailing_residual_offset(spark, sf_dir):
 def min_width_beta(spark, sf_dir):
     """Narrowest range that leaves a tenth of an entity's marks outside."""
     rows, _ = dense(spark, sf_dir)
-    packed = rows.groupBy("entity").agg(F.collect_list("mark").alias("m"))
+    packed = rows.groupBy("entity").agg(F.sort_array(F.collect_list("mark")).alias("m"))
     best = sequential.narrowest_range(F.col("m"), ALPHA)
     out = packed.select("entity", best.alias("b"))
     return out.select("entity", "b.width", "b.lo", "b.hi")
@@ -256,7 +262,7 @@ def risk_threshold(spark, sf_dir):
 )
 def risk_label_rate(spark, sf_dir):
     """Share of entities at risk per group."""
-    last = last_marks(spark, sf_dir)
+    last = kept_last_marks(spark, sf_dir)
     labelled = threshold.risk_label(last, threshold.risk_threshold(last))
     return threshold.positive_rate(labelled, ["grp"])
 
@@ -267,7 +273,7 @@ def risk_label_rate(spark, sf_dir):
 )
 def quantile_label(spark, sf_dir):
     """Label by a quantile of the last marks."""
-    last = last_marks(spark, sf_dir)
+    last = kept_last_marks(spark, sf_dir)
     return threshold.risk_label(last, threshold.quantile_threshold(last)).drop("grp")
 
 
@@ -491,7 +497,6 @@ def sample_predictions(spark, sf_dir):
 
 
 # Horizons: the probability after n steps is a fixed function of the summed marks.
-_N = 10
 _SQL_HORIZON = f"""{SQL_DENSE}, ent AS (SELECT *, CASE WHEN last_mark < 60 THEN 1 ELSE 0 END AS y FROM (
     SELECT entity, max(CAST(entity AS BIGINT)) % 4 AS part, coalesce(max_by(mark, step_idx) FILTER (WHERE mark > 0), 0e0) AS last_mark
     FROM dense GROUP BY entity)),
@@ -499,7 +504,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || entity)
 sp AS (SELECT entity, part, y, CASE WHEN CAST(entity AS BIGINT) % 10 = 0 THEN 'synthetic' ELSE 'real' END AS source,
    CASE WHEN r * 100 <= m * 60 THEN 'train' WHEN r * 100 <= m * 80 THEN 'cal' ELSE 'test' END AS split FROM rk),
 cum AS (SELECT entity, step_idx + 1 AS n, CAST(sum(cents) OVER (PARTITION BY entity ORDER BY step_idx) AS DOUBLE) AS c FROM dense),
-p AS (SELECT sp.*, n AS n_projects, round(n * 5000e0 / (n * 5000e0 + c), 6) AS p1 FROM sp JOIN cum USING (entity) WHERE n <= {_N}),
+p AS (SELECT sp.*, n AS n_projects, round(n * 5000e0 / (n * 5000e0 + c), 6) AS p1 FROM sp JOIN cum USING (entity)),
 cal AS (SELECT *, CASE WHEN y = 1 THEN round(1e0 - p1, 6) ELSE p1 END AS score FROM p WHERE split = 'cal'),
 qa AS (SELECT n_projects, min(score) FILTER (WHERE rn >= ceil(round((k + 1) * 0.9e0, 9))) AS q FROM (SELECT *,
   row_number() OVER (PARTITION BY n_projects ORDER BY score) AS rn, count(*) OVER (PARTITION BY n_projects) AS k FROM cal) GROUP BY 1),
@@ -530,8 +535,7 @@ def _horizon_sets(spark, sf_dir):
     cum = rows.select("entity", n.alias("n_projects"), F.sum("cents").over(upto).cast("double").alias("c"))
     base = F.col("n_projects") * 5000.0
     scored = durable(
-        cum.where(F.col("n_projects") <= _N)
-        .join(dealt, "entity")
+        cum.join(dealt, "entity")
         .withColumn("p1", F.round(base / (base + F.col("c")), 6))
         .withColumn("model", F.lit("GB"))
         .drop("c")

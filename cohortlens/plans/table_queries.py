@@ -57,29 +57,32 @@ def names_parsed(spark, sf_dir):
     return frames.parse_names(counted).select("unit", "step", "metric", "n")
 
 
-_WEEK = """(SELECT nullif(user_id % 7, 3) AS k1, nullif(user_id % 5, 2) AS k2, sum(c) AS v
-            FROM ev WHERE step_idx // 7 = {w} AND user_id % 4 <> {w} GROUP BY 1, 2)"""
-
-
 @query(
-    f"""WITH {SQL_CELLS}, a AS {_WEEK.format(w=0)}, b AS {_WEEK.format(w=1)}, c AS {_WEEK.format(w=2)},
-    ab AS (SELECT coalesce(a.k1, b.k1) AS k1, coalesce(a.k2, b.k2) AS k2, a.v AS w0, b.v AS w1
-      FROM a FULL JOIN b ON a.k1 IS NOT DISTINCT FROM b.k1 AND a.k2 IS NOT DISTINCT FROM b.k2)
-    SELECT coalesce(ab.k1, c.k1) AS k1, coalesce(ab.k2, c.k2) AS k2, CAST(w0 AS BIGINT) AS w0,
-      CAST(w1 AS BIGINT) AS w1, CAST(c.v AS BIGINT) AS w2
-    FROM ab FULL JOIN c ON ab.k1 IS NOT DISTINCT FROM c.k1 AND ab.k2 IS NOT DISTINCT FROM c.k2"""
+    """WITH a AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*) AS n0 FROM customer GROUP BY 1, 2),
+    b AS (SELECT s_nationkey AS nation, CAST(NULL AS VARCHAR) AS segment, count(*) AS n1 FROM supplier GROUP BY 1),
+    c AS (SELECT c_nationkey AS nation, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, count(*) AS n2
+      FROM customer GROUP BY 1, 2),
+    ab AS (SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.segment, b.segment) AS segment, n0, n1
+      FROM a FULL JOIN b ON a.nation IS NOT DISTINCT FROM b.nation AND a.segment IS NOT DISTINCT FROM b.segment)
+    SELECT CAST(coalesce(ab.nation, c.nation) AS BIGINT) AS nation, coalesce(ab.segment, c.segment) AS segment, n0, n1, n2
+    FROM ab FULL JOIN c ON ab.nation IS NOT DISTINCT FROM c.nation AND ab.segment IS NOT DISTINCT FROM c.segment"""
 )
 def outer_merge_nullsafe(spark, sf_dir):
-    """Full outer merge on keys that may be NULL."""
-    origin, _ = axis(spark, sf_dir)
-    rows = cells(spark, sf_dir, origin)
-    parts = []
-    for w in range(3):
-        part = rows.where((F.floor(F.col("step_idx") / 7) == w) & (F.col("user_id") % 4 != w))
-        k1 = F.nullif(F.col("user_id") % 7, F.lit(3)).alias("k1")
-        k2 = F.nullif(F.col("user_id") % 5, F.lit(2)).alias("k2")
-        parts.append(part.groupBy(k1, k2).agg(F.sum("cents").alias(f"w{w}")))
-    return frames.outer_merge(parts, ["k1", "k2"])
+    """Full outer merge of three tables on keys that may be NULL."""
+    customer = table(spark, sf_dir, "customer")
+    nation, segment = F.col("c_nationkey").alias("nation"), F.col("c_mktsegment")
+    in_credit = F.when(F.col("c_acctbal") >= 0, segment).alias("segment")
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation"))
+    return frames.outer_merge(
+        [
+            customer.groupBy(nation, segment.alias("segment")).agg(F.count("*").alias("n0")),
+            suppliers.agg(F.count("*").alias("n1")).withColumn(
+                "segment", F.lit(None).cast("string")
+            ),
+            customer.groupBy(nation, in_credit).agg(F.count("*").alias("n2")),
+        ],
+        ["nation", "segment"],
+    )
 
 
 @query(
@@ -159,7 +162,7 @@ def union_missing_columns(spark, sf_dir):
 )
 def union_common_columns(spark, sf_dir):
     """Two tables stacked on the columns both have."""
-    long = long_table(spark, sf_dir)
+    long = long_table(spark, sf_dir, reused=True)
     first = long.where((F.col("grp") == "G0") & (F.col("metric") != "view_passed"))
     second = long.where(F.col("grp") != "G0")
     both = frames.common_metrics([first, second])
@@ -214,12 +217,12 @@ def prefix_city_tokens(spark, sf_dir):
 
 @query(
     """SELECT page_id, coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), ''), 'unknown') AS safe,
-      regexp_replace(substring(html, 1, 200), '[^A-Za-z0-9._-]+', '_', 'g') || '_' || page_id AS target FROM pages"""
+      regexp_replace(html, '[^A-Za-z0-9._-]+', '_', 'g') || '_' || page_id AS target FROM pages"""
 )
 def sanitize_names(spark, sf_dir):
     """Safe file names from arbitrary text."""
     p = table(spark, sf_dir, "pages")
-    target = F.concat_ws("_", text.sanitize(F.substring("html", 1, 200)), F.col("page_id"))
+    target = F.concat_ws("_", text.sanitize(F.col("html")), F.col("page_id"))
     return p.select("page_id", text.sanitize(F.col("url")).alias("safe"), target.alias("target"))
 
 
@@ -387,7 +390,7 @@ _NULLS = f"""WITH {SQL_LONG}, width AS (SELECT count(*) AS w FROM (SELECT DISTIN
 @query(f"{_NULLS} SELECT entity, grp, metric, count(*) AS n, round(sum(value), 2) AS total FROM long JOIN nulls USING (entity, grp) WHERE n_null < 20 GROUP BY ALL")
 def null_count_filter(spark, sf_dir):
     """Entities with few missing values."""
-    kept = frames.keep_filled(long_table(spark, sf_dir), 20)
+    kept = frames.keep_filled(long_table(spark, sf_dir, reused=True), 20)
     return kept.groupBy("entity", "grp", "metric").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")
     )
@@ -396,7 +399,7 @@ def null_count_filter(spark, sf_dir):
 @query(f"{_NULLS} SELECT entity, grp, n_null FROM nulls ORDER BY n_null DESC, entity LIMIT 20")
 def null_count_topk(spark, sf_dir):
     """The entities with most missing values."""
-    counts = frames.null_counts(long_table(spark, sf_dir))
+    counts = frames.null_counts(long_table(spark, sf_dir, reused=True))
     return counts.orderBy(F.desc("n_null"), "entity").limit(20)
 
 
@@ -408,7 +411,7 @@ def null_count_topk(spark, sf_dir):
 )
 def mark_normalise(spark, sf_dir):
     """Marks divided by the mean of their column."""
-    return frames.normalise_marks(long_table(spark, sf_dir))
+    return frames.normalise_marks(long_table(spark, sf_dir, reused=True))
 
 
 _STATS = f"""WITH {SQL_LONG}, st AS (SELECT step, metric, min(value) AS lo, max(value) AS hi, avg(value) AS mean,
@@ -418,14 +421,14 @@ _STATS = f"""WITH {SQL_LONG}, st AS (SELECT step, metric, min(value) AS lo, max(
 @query(_STATS.format(e="round(CASE WHEN hi = lo THEN 0e0 ELSE (value - lo) / (hi - lo) END, 6)"))
 def minmax_by_step(spark, sf_dir):
     """Columns scaled to [0, 1]."""
-    long = long_table(spark, sf_dir).select("entity", "step", "metric", "value")
+    long = long_table(spark, sf_dir, reused=True).select("entity", "step", "metric", "value")
     return clusters.min_max(long, ["step", "metric"])
 
 
 @query(_STATS.format(e="round((value - mean) / CASE WHEN sd = 0 THEN 1e0 ELSE sd END, 6) + 0e0"))
 def standardise(spark, sf_dir):
     """Columns with zero mean and unit deviation."""
-    long = long_table(spark, sf_dir).select("entity", "step", "metric", "value")
+    long = long_table(spark, sf_dir, reused=True).select("entity", "step", "metric", "value")
     return clusters.standardise(long, ["step", "metric"])
 
 

@@ -11,6 +11,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import durable
+
 # The event types, which play the part of the tests of a step.
 TESTS = ["click", "error", "purchase", "signup", "view"]
 N_GROUPS = 4
@@ -57,10 +59,12 @@ def dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return out.withColumn("mark", F.col("cents") / 100.0), n_steps
 
 
-def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical long table of the events."""
+def long_table(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+    """The canonical long table of the events. A query that reads it several times has the
+    cells, which are much fewer than the events, written first."""
     origin, _ = axis(spark, sf_dir)
-    rows = cells(spark, sf_dir, origin).select(
+    summed = cells(spark, sf_dir, origin)
+    rows = (durable(summed) if reused else summed).select(
         "entity",
         "grp",
         F.concat(F.lit("U"), F.floor(F.col("step_idx") / STEPS_PER_UNIT)).alias("unit"),

@@ -81,7 +81,7 @@ def document_records(docs: DataFrame, keep: list[str] | None = None) -> DataFram
     keys = F.transform(
         F.col("results"), lambda r: F.coalesce(F.map_keys(r["skillBreakdowns"]), F.array())
     )
-    vocab = F.array_sort(F.array_distinct(F.flatten(keys)))
+    vocab = F.sort_array(F.array_distinct(F.flatten(keys)))
     prefix = text.project_prefix(stem)
     keep = keep or []
     per_doc = docs.select(
