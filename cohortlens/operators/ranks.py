@@ -65,7 +65,8 @@ def hash_rank(
     whatever the keys look like."""
     lead = lead or []
     hashed = df.withColumn("_hash", hash_of(F.col(key), seed)).withColumn("_one", F.lit(1))
-    prefix = F.substring("_hash", 1, digits)
+    # Never NULL, so the join on it needs no filter that hashes once more.
+    prefix = F.coalesce(F.substring("_hash", 1, digits), F.lit(""))
     bucket = F.struct(*[F.col(c) for c in lead], prefix.alias("_p")) if lead else prefix
     out = running_totals(
         hashed.withColumn("_bucket", bucket),
@@ -91,8 +92,8 @@ def value_buckets(df: DataFrame, value: str, n: int = 256) -> DataFrame:
 
 
 def value_histogram(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """Distinct values with their counts ``n``, kept in the checkpoint folder because
-    everything built on it reads it several times."""
+    """Distinct values with their counts ``n``, written once because everything built on
+    it reads it several times."""
     return durable(df.groupBy(*(groups or []), value).agg(F.count("*").alias("n")))
 
 

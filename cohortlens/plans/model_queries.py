@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import clusters, horizon, projection, split
 from cohortlens.plans import evaluation, production, scoring
 from cohortlens.plans.registry import query
-from cohortlens.plans.testbed import TESTS, axis, cells, table
+from cohortlens.plans.testbed import TESTS, axis, cells, dense, table
 from cohortlens.session import durable
 
 SMALL = production.Settings(
@@ -46,9 +46,7 @@ def kmeans_min_size(spark, sf_dir):
 @query()
 def pca_step_embedding(spark, sf_dir):
     """Three coordinates of the test results at each step."""
-    from cohortlens.plans.testbed import dense
-
-    rows, _ = dense(spark, sf_dir)
+    rows, _ = dense(spark, sf_dir, tuple(TESTS))
     marked = durable(rows.select("entity", "step_idx", F.array(*TESTS).alias("tests")))
     return projection.step_embedding(marked, "tests", len(TESTS)).drop("tests")
 

@@ -87,7 +87,7 @@ _CELL_SUM = " + ".join(f"{t} * {i + 1}" for i, t in enumerate(TESTS))
 )
 def step_lag_windows(spark, sf_dir):
     """Features of the four steps before each step, newest first."""
-    rows, _ = dense(spark, sf_dir)
+    rows, _ = dense(spark, sf_dir, ("cents", *TESTS))
     tests = sum((F.col(t) * (i + 1) for i, t in enumerate(TESTS)), F.lit(0))
     feats = rows.select("entity", "step_idx", F.array("cents", tests.cast("long")).alias("f"))
     out = windows.lag_windows(feats, "f", 4, ["entity"])
@@ -130,7 +130,7 @@ def next_step_feature(spark, sf_dir):
 )
 def cumulative_features(spark, sf_dir):
     """What is known after the first n steps, for every n."""
-    rows, _ = dense(spark, sf_dir)
+    rows, _ = dense(spark, sf_dir, ("cents", *TESTS))
     upto = frames.entity_window().rowsBetween(Window.unboundedPreceding, 0)
     tests = sum((F.col(t) * (i + 1) for i, t in enumerate(TESTS)), F.lit(0))
     return rows.select(
@@ -622,7 +622,7 @@ _K = 8
 )
 def hamming_knn(spark, sf_dir):
     """Nearest neighbours by test results, within each step."""
-    rows, _ = dense(spark, sf_dir)
+    rows, _ = dense(spark, sf_dir, tuple(TESTS))
     bits = F.array(*[frames.to_bit(F.col(t).cast("double")) for t in TESTS])
     marked = rows.select("entity", "step_idx", bits.alias("bits"))
     return neighbours.hamming_neighbours(marked, "entity", "bits", len(TESTS), _K, "step_idx")

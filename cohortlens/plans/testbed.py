@@ -11,6 +11,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.frames import densify
 from cohortlens.session import durable
 
 # The event types, which play the part of the tests of a step.
@@ -49,14 +50,16 @@ def cells(spark: SparkSession, sf_dir: str, origin: datetime.date) -> DataFrame:
     )
 
 
-def dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Every user at every day: ``(entity, step_idx, cents, k_sum, tests…)``."""
-    from cohortlens.operators.frames import densify
-
+def dense(
+    spark: SparkSession, sf_dir: str, values: tuple[str, ...] = ("cents",)
+) -> tuple[DataFrame, int]:
+    """Every user at every day with the wanted ``values``, and ``mark`` if ``cents`` is
+    among them. Name only what is used: the rest is then not even read."""
     origin, n_steps = axis(spark, sf_dir)
-    values = ["cents", "k_sum", *TESTS]
-    out = densify(cells(spark, sf_dir, origin), ["entity"], n_steps, values)
-    return out.withColumn("mark", F.col("cents") / 100.0), n_steps
+    out = densify(cells(spark, sf_dir, origin), ["entity"], n_steps, list(values))
+    if "cents" in values:
+        out = out.withColumn("mark", F.col("cents") / 100.0)
+    return out, n_steps
 
 
 def long_table(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
