@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if head.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+
+
+def in_parallel(spark: SparkSession, fn: Callable, items: list, threads: int = 4) -> dict:
+    """``fn`` of each item, several jobs at a time, as a dict by item.
+
+    For independent fits: the threads keep the cluster busy between the short stages of
+    a single one.
+    """
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(items, pool.map(inheritable_thread_target(spark)(fn), items)))

@@ -89,6 +89,15 @@ def test_master_round_trip(spark, folder, tmp_path):
     }
 
 
+def test_store(spark, folder, tmp_path):
+    with pytest.warns(UserWarning, match="U1_gamma"):
+        out = loading.store_long(load(spark, folder), str(tmp_path / "long"))
+    assert out.columns == frames.LONG and out.where("step = 'beta'").count() > 0
+    none = loading.load_documents(spark, folder, loading.step_table(spark, [("U9", "x")]))
+    with pytest.warns(UserWarning), pytest.raises(ValueError):
+        loading.store_long(none, str(tmp_path / "none"))
+
+
 def test_cells(spark, folder):
     cells, attrs, tests = loading.step_cells(load(spark, folder).long)
     assert tests == ["t0", "t1", "t2"]
