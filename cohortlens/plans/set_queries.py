@@ -624,5 +624,5 @@ def hamming_knn(spark, sf_dir):
     """Nearest neighbours by test results, within each step."""
     rows, _ = dense(spark, sf_dir, tuple(TESTS))
     bits = F.array(*[frames.to_bit(F.col(t).cast("double")) for t in TESTS])
-    marked = rows.select("entity", "step_idx", bits.alias("bits"))
+    marked = durable(rows.select("entity", "step_idx", bits.alias("bits")))
     return neighbours.hamming_neighbours(marked, "entity", "bits", len(TESTS), _K, "step_idx")

@@ -40,8 +40,9 @@ def write_table(
     """A saved table, or Parquet files at ``path``.
 
     ``keys`` that exist in the table lay it out for lookups, as an index would: rows are
-    sorted by key inside files that hold disjoint key ranges, so a filter on a key skips
-    files by their statistics. With ``buckets`` a saved table is bucketed instead, and
+    sorted by key inside files that hold narrow key ranges, so a filter on a key skips
+    files by their statistics. The row hash after the keys lets a key with very many rows
+    spread over several files. With ``buckets`` a saved table is bucketed instead, and
     joins on the key read it without a shuffle.
     """
     mode = MODES[if_exists]
@@ -50,7 +51,10 @@ def write_table(
         writer = df.write.mode(mode).bucketBy(buckets, *present).sortBy(*present)
         writer.saveAsTable(name)
         return
-    laid = df.repartitionByRange(*present).sortWithinPartitions(*present) if present else df
+    laid = df
+    if present:
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        laid = df.repartitionByRange(*present, spread).sortWithinPartitions(*present)
     if name:
         laid.write.mode(mode).saveAsTable(name)
     else:
