@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import small_side
+from cohortlens.session import small_side, with_row
 
 SCORE_DIGITS = 6
 
@@ -58,8 +58,7 @@ def sets_from(df: DataFrame, q: Column) -> DataFrame:
 
 
 def _attach(rows: DataFrame, limits: DataFrame, groups: list[str]) -> DataFrame:
-    limits = small_side(limits)
-    return rows.join(limits, groups, "left") if groups else rows.crossJoin(limits)
+    return rows.join(small_side(limits), groups, "left") if groups else with_row(rows, limits)
 
 
 def lac_sets(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import names
-from cohortlens.session import small_side
+from cohortlens.session import small_side, with_row
 
 KEYS = ["entity", "grp"]
 LONG = ["entity", "grp", "unit", "step", "step_idx", "metric", "value"]
@@ -143,11 +143,9 @@ def fill_group(df: DataFrame, derived: Column, column: str = "city") -> DataFram
 def null_counts(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per entity, how many of the table's columns have no value."""
     keys = keys or KEYS
-    width = small_side(
-        long.select("unit", "step", "metric").distinct().agg(F.count("*").alias("_width"))
-    )
+    width = long.select("unit", "step", "metric").distinct().agg(F.count("*").alias("_width"))
     filled = long.groupBy(*keys).agg(F.count("value").alias("_filled"))
-    return filled.crossJoin(width).select(
+    return with_row(filled, width).select(
         *keys, (F.col("_width") - F.col("_filled")).alias("n_null")
     )
 

@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import durable, small_side
+from cohortlens.session import durable, small_side, with_row
 
 #: Hex digits of the hash that name a bucket: 16**3 buckets.
 BUCKET_DIGITS = 3
@@ -114,8 +114,11 @@ def exact_quantile(
     ends = [max(0.0, q - margin), min(1.0, q + margin)]
     present = df.where(F.col(value).isNotNull()).select(*groups, value)
     sketch = F.percentile_approx(value, ends, accuracy)
-    bracket = small_side(present.groupBy(*groups).agg(sketch.alias("_ends")))
-    tagged = present.join(bracket, groups) if groups else present.crossJoin(bracket)
+    bracket = present.groupBy(*groups).agg(sketch.alias("_ends"))
+    if groups:
+        tagged = present.join(small_side(bracket), groups)
+    else:
+        tagged = with_row(present, bracket)
     zone = (
         F.when(F.col(value) < F.col("_ends")[0], F.lit(0))
         .when(F.col(value) > F.col("_ends")[1], F.lit(2))

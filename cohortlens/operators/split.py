@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranks import hash_rank
-from cohortlens.session import small_side
+from cohortlens.session import small_side, with_row
 
 # Shares of the splits in percent, in the order the rows are dealt.
 THREE_WAY = [("train", 60), ("cal", 20), ("test", 20)]
@@ -44,9 +44,9 @@ def stratified_split(
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight of each class, rows / (classes * rows of the class)."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = small_side(sizes.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes")))
+    total = sizes.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes"))
     weight = F.col("_all") / (F.col("_classes") * F.col("n")).cast("double")
-    return sizes.crossJoin(total).select(label, "n", weight.alias("weight"))
+    return with_row(sizes, total).select(label, "n", weight.alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:

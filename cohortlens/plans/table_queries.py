@@ -16,6 +16,7 @@ from cohortlens.plans.testbed import (
     long_table,
     table,
 )
+from cohortlens.session import durable
 
 _PATH = "'U' || (event_id % 3) || '_step' || (event_id % 5) || '_' || upper(event_type[1:2]) || '-' || (event_id % 4) || '-1'"
 
@@ -113,10 +114,62 @@ def task_vocab_zero_fill(spark, sf_dir):
     )
     from cohortlens.sources.documents import zero_fill
 
-    got = docs.groupBy("day", "user_id", "task").agg(F.count("*").alias("passed"))
+    got = durable(docs.groupBy("day", "user_id", "task").agg(F.count("*").alias("passed")))
     return zero_fill(got, "day", ["user_id"], "task", "passed")
 
 
+_PRESENT = " UNION ALL ".join(
+    f"SELECT *, '{t}_passed' AS metric, CAST({t} AS DOUBLE) AS value FROM c WHERE {t} > 0" for t in TESTS
+)
+_FIXED = " UNION ALL ".join(
+    f"SELECT *, '{m}', CAST({v} AS DOUBLE) FROM c"
+    for m, v in [
+        ("mark", "mark"), ("virtualMark", "NULL"), ("prerequisitesMark", "NULL"),
+        ("stylePenalty", "NULL"), ("styleFatal", "NULL"), ("styleMajor", "NULL"),
+        ("styleMinor", "NULL"), ("styleInfo", "k_sum"),
+    ]
+)
+
+
+@query(
+    f"""WITH {SQL_CELLS}, c AS (SELECT entity, grp, 'U' || CAST(floor(step_idx / 7e0) AS BIGINT) AS unit,
+      'day' || lpad(CAST(step_idx + 1 AS VARCHAR), 2, '0') AS step, mark, k_sum, {", ".join(TESTS)} FROM cells)
+    SELECT entity, grp, unit, step, metric, round(value, 6) AS value FROM ({_PRESENT} UNION ALL {_FIXED})"""
+)
+def documents_flattened(spark, sf_dir):
+    """Nested result documents, one per user and day, taken apart into long rows."""
+    from cohortlens.sources.documents import RESULT_SCHEMA, document_records, project_table
+
+    origin, _ = axis(spark, sf_dir)
+    rows = cells(spark, sf_dir, origin)
+    tasks = F.filter(
+        F.array(*[
+            F.struct(F.lit(t).alias("k"), F.array(F.struct(F.col(t).alias("passed"))).alias("v"))
+            for t in TESTS
+        ]),
+        lambda e: e["v"][0]["passed"] > 0,
+    )
+    no_value = F.lit(None).cast("double")
+    info = F.struct(*[no_value.alias(c) for c in ("fatal", "major", "minor")],
+                    F.col("k_sum").alias("info"))
+    penalty = F.struct(F.struct(no_value.alias("value")).alias("Penalty"))
+    summary = F.struct(info.alias("value"), penalty.alias("penalty"))
+    result = F.struct(
+        F.col("mark").alias("mark"),
+        no_value.alias("virtualMark"),
+        no_value.alias("prerequisitesMark"),
+        F.struct(F.struct(F.array("entity").alias("members")).alias("group")).alias("properties"),
+        F.map_from_entries(tasks).alias("skillBreakdowns"),
+        F.struct(F.struct(summary.alias("summary")).alias("CodingStyleSummary")).alias("style"),
+    )
+    day = F.lpad((F.col("step_idx") + 1).cast("string"), 2, "0")
+    path = F.concat(F.lit("/landing/U"), F.floor(F.col("step_idx") / 7), F.lit("_day"), day,
+                    F.lit("_"), "grp", F.lit("-"), "user_id", F.lit(".json"))
+    kind = RESULT_SCHEMA.split(None, 1)[1]
+    docs = rows.select(path.alias("path"), F.array(result).cast(kind).alias("results"))
+    return project_table(document_records(docs))
+
+
 @query(
     """SELECT user_id, day, event_id, event_type, value FROM (
       SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_type, round(value, 6) AS value,

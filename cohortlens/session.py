@@ -69,6 +69,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table as constants; no join."""
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"one row expected, not {len(rows) or 'none'}")
+    kinds = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.withColumns({c: F.lit(rows[0][c]).cast(k) for c, k in kinds.items()})
+
+
 def in_parallel(spark: SparkSession, fn: Callable, items: list, threads: int = 4) -> dict:
     """``fn`` of each item, several jobs at a time, as a dict by item.
 

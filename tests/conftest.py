@@ -12,7 +12,8 @@ from cohortlens.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session(
         8,
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
+        spark__default__parallelism="2",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
