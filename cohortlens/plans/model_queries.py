@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import clusters, horizon, projection, split
 from cohortlens.plans import evaluation, production, scoring
 from cohortlens.plans.registry import query
-from cohortlens.plans.testbed import TESTS, axis, cells, dense, table
+from cohortlens.plans.testbed import SQL_DENSE, TESTS, axis, cells, dense, table
 from cohortlens.session import durable
 
 SMALL = production.Settings(
@@ -43,6 +43,38 @@ def kmeans_min_size(spark, sf_dir):
     return out.select("vec_id", "cluster")
 
 
+_PAIRS = [(i, j) for i in range(len(TESTS)) for j in range(i + 1)]
+
+
+@query(
+    f"WITH {SQL_DENSE} SELECT CAST(step_idx AS BIGINT) AS step_idx, count(*) AS n, "
+    + ", ".join(f"CAST(sum({t}) AS DOUBLE) AS s{i}" for i, t in enumerate(TESTS))
+    + ", "
+    + ", ".join(f"CAST(sum({TESTS[i]} * {TESTS[j]}) AS DOUBLE) AS p{i}_{j}" for i, j in _PAIRS)
+    + " FROM dense GROUP BY step_idx"
+)
+def step_moments(spark, sf_dir):
+    """What the coordinates of every step are computed from, in one pass."""
+    rows, _ = dense(spark, sf_dir, tuple(TESTS))
+    marked = rows.select("step_idx", F.array(*TESTS).alias("tests"))
+    out = projection.step_moments(marked, "tests", len(TESTS))
+    sums = [F.get("s", F.lit(i)).alias(f"s{i}") for i in range(len(TESTS))]
+    products = [F.get("p", F.lit(k)).alias(f"p{i}_{j}") for k, (i, j) in enumerate(_PAIRS)]
+    return out.select("step_idx", "n", *sums, *products)
+
+
+@query(
+    """WITH n AS (SELECT CAST(sum(quality) AS DOUBLE) AS n1, CAST(sum(1 - quality) AS DOUBLE) AS n0 FROM labels),
+    t AS (SELECT doc_id, CASE WHEN quality = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t FROM labels, n)
+    SELECT doc_id, CAST(1 AS BIGINT) AS side, round(t, 6) AS side_weight FROM t
+    UNION ALL SELECT doc_id, CAST(0 AS BIGINT), round(1 - t, 6) FROM t"""
+)
+def calibration_targets(spark, sf_dir):
+    """Smoothed targets of a sigmoid calibration as weighted rows."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y"))
+    return horizon.smoothed_targets(rows).drop("y")
+
+
 @query()
 def pca_step_embedding(spark, sf_dir):
     """Three coordinates of the test results at each step."""
