@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import exact_dedup, token_counts, token_store
+from cohortlens.llm import bpe_chunks, exact_dedup, token_counts, token_store
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -43,6 +46,27 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _id_digests(tokenizer, encoded: list) -> list[pa.Array]:
+    """Number of ids, digest of the ids in decimal, digest of the text decoded from them."""
+    decimal = [b"%d" % i for i in range(tokenizer.get_vocab_size())]
+    ids = [x.tolist() for x in encoded]
+    decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
+    return [
+        pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([hashlib.sha256(b" ".join([decimal[i] for i in x])).hexdigest() for x in ids], pa.string()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+    ]
+
+
+@query()
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the text decoded from them."""
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
+              StructField("decoded_sha256", StringType())]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_chunks.encode(documents(spark, sf_dir), path, ["doc_id"], finish=_id_digests, fields=fields)
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
