@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import bpe_chunks, exact_dedup, token_counts, token_store
+from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, near_dedup, token_counts, token_store
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -67,6 +67,48 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode(documents(spark, sf_dir), path, ["doc_id"], finish=_id_digests, fields=fields)
 
 
+@query()
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a shingle similarity of 0.85 or more."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query(r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+        SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+        FROM items WHERE len(w) > 0)),
+places AS (
+    SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM words, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size)),
+found AS (SELECT doc_id, i, size, item_id FROM places JOIN wins USING (size, win)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside passages of benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.scan(documents(spark, sf_dir), items, ["doc_id"])
+    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
