@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, near_dedup, token_counts, token_store
+from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, near_dedup, token_counts, token_store, toxicity
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -109,6 +109,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every text, learned outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = toxicity.score(documents(spark, sf_dir), labels, ["doc_id"])
+    return out.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
