@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, near_dedup, token_counts, token_store, toxicity
+from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, token_counts, token_store, toxicity
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -73,6 +73,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text by a model of the texts outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    model = kneser_ney.fit(docs.where(~kneser_ney.held_out()))
+    out = kneser_ney.score(docs, model, ["doc_id"])
+    return out.select(
+        "doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 @query(r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
