@@ -12,7 +12,7 @@ from cohortlens.llm.units import UnitEncoder
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text", batch_bytes: int = 2 << 20
+    docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text", batch_bytes: int = 8 << 20
 ) -> DataFrame:
     """``keep`` of each row, ``n_bytes`` (UTF-8) and ``n_tokens`` of its text.
 

@@ -51,7 +51,7 @@ def write(
         out, ids_path = new_file(folder, "ids")
         lens, keys, nulls = [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 ids, starts = encoder.ids(pc.fill_null(part.column("text"), ""))
                 if end_id is not None:
                     ids = np.insert(ids, starts[1:], end_id)

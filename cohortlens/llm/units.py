@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Units a worker remembers; above that it starts with an empty memo again.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 500_000
+#: Parts of units that the model was asked for and a worker remembers.
+MEMO_PARTS = 500_000
 #: Characters of a piece of a text that is not split into units.
 PIECE_CHARS = 1 << 15
 
@@ -26,6 +28,14 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _RE2_SPACE = SPACE.replace(" - ", "\\x{2000}-\\x{200a}")
 #: A space in a run where the byte-level pattern may join it to its neighbours.
 _JOINED = f"[{_RE2_SPACE}] (?:[{_RE2_SPACE}]|\\z)"
+#: Letters that the patterns surely take as such, and characters whose class is plain.
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PLAIN = re.compile(rf"(?:[{_L}0-9 \n!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{{|}}~]|<(?!\|))*")
+#: How the two kinds of pre-tokenizers cut plain text (no apostrophes, nothing else).
+_KEEPS_SPACE = re.compile(rf" ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+_DROPS_SPACE = re.compile(rf"[{_L}]+|[0-9]|[^\s{_L}0-9]+")
+_WORD = re.compile(rf"( ?[{_L}]+)([.,;:!?|]*)")
+_PROBE = "Ab cd, the (end).\n Éàü 42x7 == a_b|c  d!? [x]:y;<z> ß Ø-9"
 _BREAK = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
@@ -72,6 +82,57 @@ def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones
+    for themselves, the others in order from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Pretokens:
+    """Ids of plain units by way of the library's model, without its regular expressions.
+
+    Plain text (letters of Latin-1, digits, common punctuation, spaces, new lines) is cut as
+    the tokenizer's pattern would, and the model is asked for each distinct part once.
+    ``cut`` gives None for all other units, and for every unit if a probe doesn't come out
+    as the library's.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, drops_space: bool):
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.lower = drops_space
+        self.pattern = _DROPS_SPACE if drops_space else _KEEPS_SPACE
+        self.memo: dict[str, list[int]] = {}
+        self.usable = True
+        alone = tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        self.usable = self.cut(_PROBE) == alone
+
+    def _ask(self, part: str) -> list[int]:
+        coded = part.encode().decode("latin-1").translate(self.letters)
+        ids = self.memo[part] = [t.id for t in self.model.tokenize(coded)]
+        return ids
+
+    def cut(self, unit: str) -> list[int] | None:
+        if not self.usable:
+            return None
+        memo = self.memo
+        if word := _WORD.fullmatch(unit):
+            word, marks = word.groups()
+            if self.lower:
+                word = word.lstrip(" ").lower()
+            ids = memo.get(word) or self._ask(word)
+            return ids + (memo.get(marks) or self._ask(marks)) if marks else ids
+        if not _PLAIN.fullmatch(unit):
+            return None
+        if self.lower:
+            unit = unit.lower()
+        parts = self.pattern.findall(unit)
+        if len(parts) == 1:
+            return memo.get(parts[0]) or self._ask(parts[0])
+        return [i for part in parts for i in memo.get(part) or self._ask(part)]
+
+
 class UnitEncoder:
     """Ids of texts by way of units; ``lengths_only`` remembers numbers of ids alone."""
 
@@ -84,6 +145,7 @@ class UnitEncoder:
         pre = self.tokenizer.pre_tokenizer
         # a pattern that drops white space restarts at every space; a byte-level one keeps it
         self.drops_space = "ByteLevel" not in type(pre).__name__
+        self.pretokens = Pretokens(self.tokenizer, self.drops_space)
         self._reset()
 
     def _reset(self) -> None:
@@ -94,7 +156,15 @@ class UnitEncoder:
         self.used = 0
 
     def _encode(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        if len(self.pretokens.memo) > MEMO_PARTS:
+            self.pretokens.memo.clear()
+        ids = list(map(self.pretokens.cut, units))
+        other = [i for i, x in enumerate(ids) if x is None]
+        if other:
+            found = self.tokenizer.encode_batch_fast([units[i] for i in other], add_special_tokens=False)
+            for i, x in zip(other, found, strict=True):
+                ids[i] = x.ids
+        return ids
 
     def _learn(self, units: list[str]) -> None:
         for start in range(0, len(units), 20_000):
@@ -118,8 +188,11 @@ class UnitEncoder:
             self.used += new
 
     def _rows(self, units: list[str]) -> np.ndarray:
-        self._learn(list(dict.fromkeys(u for u in units if u not in self.rows)))
-        return np.fromiter(map(self.rows.__getitem__, units), np.int64, len(units))
+        rows = self.rows
+        new = [u for u in units if u not in rows]
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+        return np.fromiter(map(rows.__getitem__, units), np.int64, len(units))
 
     def unit_rows(self, texts: pa.Array) -> Ragged:
         """Rows of the memo for the units of each text; valid until the next call."""
@@ -136,12 +209,13 @@ class UnitEncoder:
         starts = starts - starts[0]
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy(zero_copy_only=False)
-        pieces = encoded.dictionary.to_pylist()
-        rows = self._rows([" " + p for p in pieces])[codes]
+        pieces = encoded.dictionary
+        spaced = pc.binary_join_element_wise(" ", pieces, "") if len(pieces) else pieces
+        rows = self._rows(spaced.to_numpy(zero_copy_only=False).tolist())[codes]
         first = starts[:-1]
         if len(first):
             heads, which = np.unique(codes[first], return_inverse=True)
-            rows[first] = self._rows([pieces[h] for h in heads])[which]
+            rows[first] = self._rows(pieces.take(pa.array(heads)).to_pylist())[which]
         if odd.any():
             # texts that units would not give exactly: pieces between safe places instead
             parts = {i: self._rows(safe_pieces(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()}
