@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, token_counts, token_store, toxicity
+from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, token_counts, token_store, toxicity, warc
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -121,6 +121,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id <> min(page_id) OVER same
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id <> min(page_id) OVER same
+            THEN min(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    warc.register(spark)
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    records = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    records.write.format("warc").mode("append").save(folder)
+    return warc.read_pages(spark, folder)
+
+
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every text, learned outside the held-out fold."""
