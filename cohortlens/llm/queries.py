@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from cohortlens.llm import bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, token_counts, token_store, toxicity, warc
+from cohortlens.llm import (
+    bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, secret_scan, token_counts, token_store, toxicity, warc,
+)
 from cohortlens.session import shared_folder
 
 QUERIES: dict = {}
@@ -32,6 +34,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by pattern and by novelty."""
+    found = secret_scan.scan(documents(spark, sf_dir), ["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("novel"),
+    )
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
