@@ -30,6 +30,11 @@ def query(sql: str | None = None):
     return add
 
 
+def new_name(kind: str) -> str:
+    """A name for a table or folder of one run."""
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -59,14 +64,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts by digest; the largest doc_id of each stays."""
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    index = exact_dedup.DigestIndex(spark, new_name("digests"))
     rows = index.absorb(documents(spark, sf_dir), "first")
     return rows.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def _id_digests(tokenizer, encoded: list) -> list[pa.Array]:
+def id_digests(tokenizer, encoded: list) -> list[pa.Array]:
     """Number of ids, digest of the ids in decimal, digest of the text decoded from them."""
     decimal = [b"%d" % i for i in range(tokenizer.get_vocab_size())]
     ids = [x.tolist() for x in encoded]
@@ -78,13 +83,15 @@ def _id_digests(tokenizer, encoded: list) -> list[pa.Array]:
     ]
 
 
+ID_DIGESTS = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
+              StructField("decoded_sha256", StringType())]
+
+
 @query()
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the text decoded from them."""
-    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
-              StructField("decoded_sha256", StringType())]
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe_chunks.encode(documents(spark, sf_dir), path, ["doc_id"], finish=_id_digests, fields=fields)
+    return bpe_chunks.encode(documents(spark, sf_dir), path, ["doc_id"], finish=id_digests, fields=ID_DIGESTS)
 
 
 @query()
@@ -152,7 +159,7 @@ FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back."""
     warc.register(spark)
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{new_name('warc')}"
     records = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     records.write.format("warc").mode("append").save(folder)
     return warc.read_pages(spark, folder)
@@ -181,5 +188,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum in the written id array."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{new_name('tokens')}"
     return token_store.read(token_store.write(documents(spark, sf_dir), path, folder, end_id=0))

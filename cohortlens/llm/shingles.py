@@ -50,10 +50,11 @@ def fast_sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
     out = np.full(len(sets) * size, np.iinfo(np.uint64).max, np.uint64)
     values = np.concatenate([*sets, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), lens)
+    seeds = np.arange(1, 2 * size + 1, dtype=np.uint64) * _BASE
     for i in range(2 * size):
         if not len(values):
             break
-        hashed = mixed(values + np.uint64(i + 1) * _BASE)
+        hashed = mixed(values + seeds[i])
         bins = (hashed >> np.uint64(33)) % np.uint64(size) if i < size else np.uint64(i - size)
         placed = (np.uint64(i) << np.uint64(55)) | (mixed(hashed) >> np.uint64(9))
         np.minimum.at(out, owner * size + bins.astype(np.int64), placed)
