@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import names
-from cohortlens.session import small_side, with_row
+from cohortlens.session import joined, small_side, with_row
 
 KEYS = ["entity", "grp"]
 LONG = ["entity", "grp", "unit", "step", "step_idx", "metric", "value"]
@@ -180,11 +180,11 @@ def normalise_marks(long: DataFrame) -> DataFrame:
     rows by column would leave one task per column.
     """
     keys = ["unit", "step", "metric"]
-    joined = long.join(small_side(mark_means(long)), keys, "left")
+    found = joined(long, small_side(mark_means(long)), keys, "left")
     scaled = F.when(
         names.is_mark(F.col("metric")), F.try_divide(F.col("value"), F.col("_mean"))
     ).otherwise(F.col("value"))
-    return joined.withColumn("value", scaled).select(*long.columns)
+    return found.withColumn("value", scaled).select(*long.columns)
 
 
 def select_pool(long: DataFrame, unit: str) -> DataFrame:
@@ -225,7 +225,7 @@ def restore_marks(scored: DataFrame, raw: DataFrame, keys: list[str]) -> DataFra
     """Wide tables: replace the mark columns of ``scored`` by those of ``raw``."""
     marks = [c for c in raw.columns if c.endswith(names.MARK_SUFFIX)]
     bare = scored.drop(*[c for c in scored.columns if c in marks])
-    return bare.join(raw.select(*keys, *[F.col(f"`{c}`") for c in marks]), keys, "left")
+    return joined(bare, raw.select(*keys, *[F.col(f"`{c}`") for c in marks]), keys, "left")
 
 
 def densify(

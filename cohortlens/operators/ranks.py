@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import durable, small_side, with_row
+from cohortlens.session import durable, joined, small_side, with_row
 
 #: Hex digits of the hash that name a bucket: 16**3 buckets.
 BUCKET_DIGITS = 3
@@ -44,8 +44,9 @@ def running_totals(
     )
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranked = df.select("*", *[F.sum(c).over(local).alias(f"_{n}_loc") for n, c in sums.items()])
-    joined = ranked.join(offsets, keys)
-    return joined.select(
+    # a NULL group or order is a group like any other
+    found = joined(ranked, offsets, keys)
+    return found.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_{n}_off") + F.col(f"_{n}_loc")).alias(f"{n}_cum") for n in sums],
         *[f"{n}_all" for n in sums],
@@ -116,7 +117,7 @@ def exact_quantile(
     sketch = F.percentile_approx(value, ends, accuracy)
     bracket = present.groupBy(*groups).agg(sketch.alias("_ends"))
     if groups:
-        tagged = present.join(small_side(bracket), groups)
+        tagged = joined(present, small_side(bracket), groups)
     else:
         tagged = with_row(present, bracket)
     zone = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranks import hash_rank
-from cohortlens.session import small_side, with_row
+from cohortlens.session import joined, small_side, with_row
 
 # Shares of the splits in percent, in the order the rows are dealt.
 THREE_WAY = [("train", 60), ("cal", 20), ("test", 20)]
@@ -51,4 +51,4 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     weights = small_side(class_weights(df, label).select(label, "weight"))
-    return df.join(weights, label)
+    return joined(df, weights, [label])

@@ -27,6 +27,7 @@ def traces_long(spark, sf_dir):
     return long_table(spark, sf_dir)
 
 
+#: Columns of the SQL twin; the query takes its own from the data, and fails to match if they differ.
 _PIVOT_STEPS = range(30)
 
 
@@ -37,9 +38,9 @@ _PIVOT_STEPS = range(30)
 )
 def traces_pivot(spark, sf_dir):
     """Wide marks: the N-way outer merge as one aggregation."""
-    origin, _ = axis(spark, sf_dir)
+    origin, n_steps = axis(spark, sf_dir)
     rows = cells(spark, sf_dir, origin).withColumn("d", F.concat(F.lit("d"), "step_idx"))
-    steps = [f"d{i}" for i in _PIVOT_STEPS]
+    steps = [f"d{i}" for i in range(n_steps)]
     return rows.groupBy("entity", "grp").pivot("d", steps).agg(F.max("mark"))
 
 

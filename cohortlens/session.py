@@ -78,6 +78,16 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(rows[0][c]).cast(k) for c, k in kinds.items()})
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where the keys agree; NULL keys agree too."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
+    out = left.join(named, on, how)
+    return out if how == "left_semi" else out.drop(*[f"_r_{k}" for k in keys])
+
+
 def in_parallel(spark: SparkSession, fn: Callable, items: list, threads: int = 4) -> dict:
     """``fn`` of each item, several jobs at a time, as a dict by item.
 
