@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cohortlens.session import durable
 
 
+#: Edges in one task of the tables between rounds.
+TASK_EDGES = 500_000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -28,14 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.distinct())
     state = _state(edges)
     while state[0]:
+        # rounds never add edges: their number tells how many tasks the next tables need
+        tasks = 1 + state[0] // TASK_EDGES
         both = _both(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.where("u != v").distinct())
+        large = durable(large.where("u != v").distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u != v")
-        edges = durable(small.distinct())
+        edges = durable(small.distinct().coalesce(tasks))
         last, state = state, _state(edges)
         if state == last:
             break

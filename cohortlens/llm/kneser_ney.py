@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from cohortlens.llm.arrow import (
-    _located, append_columns, mixed, new_file, read_bytes, ship, slices, space_words, string_hashes,
+    _located, append_columns, bucket_of, mixed, new_file, read_bytes, ship, slices, space_words, string_hashes,
 )
 from cohortlens.llm.units import summed
 from cohortlens.session import durable, shared_folder
@@ -51,11 +51,6 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * _PAIR + second)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets as ranges of hashes."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
 def pair_bucket(first: np.ndarray, keys: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
     """Pairs go by their first word, those of heavy words by themselves."""
     return bucket_of(np.where(np.isin(first, heavy), keys, first), buckets)

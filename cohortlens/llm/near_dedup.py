@@ -4,7 +4,11 @@ Documents with equal shingle sets are one class; classes are what is linked. Cla
 share a band of their sketches are candidates. They are not paired with each other: in each
 bucket all meet its smallest class first; what is linked then is one component, and only
 classes that stand outside a bucket's largest component meet the others there, some at a
-time, until no bucket has a pair left that was neither linked nor compared.
+time, until no bucket has a pair left that was neither linked nor ruled out.
+
+In crowded buckets pairs are ruled out by exact bounds before they are made: a shingle that
+no other class of crowded buckets has (a private one) is in no intersection and in every
+union. A class with too many of them has no partner there at all.
 """
 
 from __future__ import annotations
@@ -14,20 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from cohortlens.llm.arrow import append_columns, list_array, ship
+from cohortlens.llm.arrow import append_columns, bucket_of, list_array, ship, slices
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import band_hashes, fast_sketches, set_key, shingle_sets
 from cohortlens.session import durable
 
-#: 24 bands of 5 coordinates: at a similarity of 0.85 a pair shares none with probability
-#: (1 - 0.85**5)**24, less than 1e-6; at 0.8 it is 7e-5.
-BANDS, ROWS = 24, 5
+#: 18 bands of 4 coordinates: at a similarity of 0.85 a pair shares none with probability
+#: (1 - 0.85**4)**18, less than 2e-6; at 0.8 it is 8e-5.
+BANDS, ROWS = 18, 4
+#: Classes from which on a bucket is crowded. Only the work depends on it.
+CROWD = 16
 #: Classes outside the largest component that a bucket compares with the rest in one round.
-PIVOTS = 64
+PIVOTS = 256
 #: Sets a task remembers while it compares.
 MEMO_SETS = 512
 
@@ -83,6 +89,79 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "u binary, v binary")
 
 
+def _private_blocks(targets: int):
+    """Per range of hashes and slice of texts: short hashes, the class of each (none if
+    several of the slice have it) and the keys of the classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                sets = shingle_sets(part.column("text"))
+                keys = np.frombuffer(b"".join(part.column("key").to_pylist()), np.uint8).reshape(-1, 16)
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                values, first, counts = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                owner = np.where(counts == 1, owner[first], _NOBODY).astype("<u4")
+                target = bucket_of(values, targets)  # ascending, as the values are
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1, [len(values)]]).tolist()
+                rows = [[int(target[i]), values[i:j].astype("<u4"), owner[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)]
+                for row in rows:  # only the keys that the row's classes need
+                    used, row[2] = np.unique(row[2], return_inverse=True)
+                    own = used[used != _NOBODY]
+                    row[2] = np.where(used[row[2]] == _NOBODY, _NOBODY, row[2]).astype("<u4")
+                    row.append(keys[own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()),
+                     *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))],
+                    ["target", "hashes", "owners", "keys"],
+                )
+
+    return run
+
+
+_NOBODY = 2**32 - 1
+
+
+def _private_sums(table: pa.Table) -> pa.Table:
+    hashes, owners, keys, base = [], [], [], 0
+    for row in table.to_pylist():
+        own = np.frombuffer(row["owners"], "<u4").astype(np.int64)
+        hashes.append(np.frombuffer(row["hashes"], "<u4"))
+        owners.append(np.where(own == _NOBODY, -1, own + base))
+        keys += [row["keys"][i : i + 16] for i in range(0, len(row["keys"]), 16)]
+        base = len(keys)
+    _, first, counts = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+    alone = np.concatenate(owners)[first[counts == 1]]
+    sums = np.bincount(alone[alone >= 0], minlength=len(keys))
+    some = np.flatnonzero(sums)
+    return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "private": pa.array(sums[some], pa.int64())})
+
+
+def private_counts(texts: DataFrame) -> DataFrame:
+    """``key, private``: how many shingles of a class no other class of ``key, text`` has.
+
+    Counted on 32 bits of a hash within ranges of it: what collides counts as shared, so a
+    count is never too large. A shingle that many classes share leaves a task once.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = texts.select("key", "text").mapInArrow(
+        _private_blocks(targets), "target int, hashes binary, owners binary, keys binary"
+    )
+    sums = blocks.groupBy("target").applyInArrow(_private_sums, "key binary, private long")
+    return sums.groupBy("key").agg(F.sum("private").alias("private"))
+
+
+def possible(percent: int, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Whether two sets of ``(size, private)`` can be similar enough.
+
+    ``private`` is null for a class outside the crowded buckets; then both count as without.
+    """
+    both = a[1].isNotNull() & b[1].isNotNull()
+    (n, p), (m, q) = ((x[0], F.when(both, x[1]).otherwise(0)) for x in (a, b))
+    return 100 * F.least(n - p, m - q) >= percent * F.greatest(n + q, m + p)
+
+
 class _Classes:
     """Classes of one run, their texts and the links found so far."""
 
@@ -92,13 +171,6 @@ class _Classes:
 
     def link(self, pairs: DataFrame) -> None:
         """Confirm the pairs ``u, v`` and add those that are similar enough."""
-        sizes = self.classes.select("key", "n")
-        for side in ("u", "v"):
-            pairs = pairs.join(sizes.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n")), side)
-        # similar sets have similar sizes
-        pairs = pairs.where(
-            100 * F.least("u_n", "v_n") >= self.percent * F.greatest("u_n", "v_n")
-        ).select("u", "v")
         for side in ("v", "u"):
             pairs = pairs.join(
                 self.texts.select(F.col("key").alias(side), F.col("text").alias(f"{side}_text")).hint("merge"), side
@@ -113,30 +185,40 @@ class _Classes:
         return roots
 
     def first_pairs(self) -> DataFrame:
-        """Every class of a bucket with the bucket's smallest."""
-        least = self.members.groupBy("bucket").agg(F.min("key").alias("v"))
-        pairs = self.members.withColumnRenamed("key", "u").join(least, "bucket")
-        return pairs.where("u != v").select("u", "v").distinct()
+        """Every class of a bucket with the bucket's smallest, unless their sizes rule it out."""
+        least = self.members.groupBy("bucket").agg(F.min(F.struct("key", "n", "private")).alias("v"))
+        pairs = self.members.withColumnRenamed("key", "u").join(least, "bucket").where("u != v.key")
+        fits = possible(self.percent, (F.col("n"), F.col("private")), (F.col("v.n"), F.col("v.private")))
+        return pairs.where(fits).select("u", F.col("v.key").alias("v")).distinct()
 
     def next_pairs(self, roots: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Pairs of classes outside their bucket's largest component with those of other
-        components there; the pairs, and the classes outside."""
+        components there; the pairs, and the classes outside. A pair is made in the first
+        bucket that both share, once."""
         named = roots.select(F.col("node").alias("key"), "root")
         rows = self.members.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
         counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(
             F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")
         ).where("parts > 1")
-        rows = durable(rows.join(largest, "bucket").select("bucket", "key", "root", "largest"))
-        outside = rows.where("root != largest").select("bucket", "key", "root")
+        rows = rows.join(largest, "bucket").join(self.classes.select("key", "bands"), "key")
+        rows = durable(rows.select("bucket", "key", "n", "private", "root", "largest", "bands"))
+        outside = rows.where("root != largest")
         if used is not None:
             outside = outside.join(used, ["bucket", "key"], "left_anti")
         slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS))
-        pivots = outside.groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("key", "root"), "key").alias("p"))
-        pivots = durable(pivots.select("bucket", F.col("p.key").alias("pivot"), F.col("p.root").alias("pivot_root")))
-        pairs = rows.join(pivots, "bucket").where("root != pivot_root")
-        pairs = pairs.select(F.greatest("key", "pivot").alias("u"), F.least("key", "pivot").alias("v"))
-        return pairs.distinct(), pivots.select("bucket", F.col("pivot").alias("key"))
+        pivots = outside.groupBy("bucket", slot.alias("slot")).agg(
+            F.min(F.struct("key", "n", "private", "root", "bands")).alias("p")
+        )
+        pivots = durable(pivots.select("bucket", "p"))
+        fits = possible(self.percent, (rows["n"], rows["private"]), (pivots["p.n"], pivots["p.private"]))
+        first = F.array_intersect(rows["bands"], pivots["p.bands"])[0]
+        pairs = rows.join(
+            pivots,
+            (rows["bucket"] == pivots["bucket"]) & (rows["root"] != pivots["p.root"]) & fits & (first == rows["bucket"]),
+        )
+        pairs = pairs.select(F.greatest("key", "p.key").alias("u"), F.least("key", "p.key").alias("v"))
+        return pairs.distinct(), pivots.select("bucket", F.col("p.key").alias("key"))
 
 
 def near_duplicates(
@@ -162,13 +244,21 @@ def near_duplicates(
         described.where("n_shingles > 0").groupBy("key")
         .agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    in_bands = classes.select(F.explode("bands").alias("bucket"), "key")
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    in_bands = classes.select(F.explode("bands").alias("bucket"), "key", "n")
+    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = durable(in_bands.join(shared, "bucket"))
-    wanted = members.select("key").distinct()
+    wanted = members.groupBy("key").agg(F.max("size").alias("size"))
     texts = append_columns(base, lambda: _once(_keys()), [StructField("key", BinaryType())], ["text"])
-    texts = texts.where(F.col("key").isNotNull()).join(wanted.hint("merge"), "key", "left_semi")
-    texts = durable(texts.groupBy("key").agg(F.first("text").alias("text")))
+    texts = texts.where(F.col("key").isNotNull()).join(wanted.hint("merge"), "key")
+    texts = durable(texts.groupBy("key").agg(F.first("text").alias("text"), F.first("size").alias("size")))
+    crowded = texts.where(F.col("size") >= CROWD).select("key", "text")
+    private = private_counts(crowded).join(crowded.select("key"), "key", "right").withColumn(
+        "private", F.coalesce("private", F.lit(0))
+    )
+    members = members.join(private, "key", "left").where(
+        (F.col("size") < CROWD) | (100 * (F.col("n") - F.col("private")) >= percent * F.col("n"))
+    )
+    members = durable(members.select("bucket", "key", "n", "private"))
 
     state = _Classes(classes, members, texts, percent)
     state.link(state.first_pairs())
