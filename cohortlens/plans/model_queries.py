@@ -31,7 +31,7 @@ SMALL = production.Settings(
 def cohort_of(spark, sf_dir, parts=None) -> production.Cohort:
     origin, n_steps = axis(spark, sf_dir)
     rows = cells(spark, sf_dir, origin)
-    return production.prepare(rows, n_steps, ["k_sum"], TESTS, SMALL, parts)
+    return production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, SMALL, parts)
 
 
 @query()
