@@ -39,7 +39,7 @@ def kmeans_min_size(spark, sf_dir):
     """Clusters with a minimum size."""
     point = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", point.alias("point"))
-    out, _ = clusters.cluster_with_min_size(rows, "point", k=8, min_size=60, n_init=2)
+    out, _ = clusters.cluster_with_min_size(rows, "point", k=8, min_size=60)
     return out.select("vec_id", "cluster")
 
 
