@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
-from cohortlens.llm.arrow import append_columns, list_array, string_hashes
+from cohortlens.llm.arrow import append_columns, list_array, mixed, string_hashes
 from cohortlens.llm.units import UnitEncoder, load
 
 #: Bits of the rolling hash that must be zero at a cut: chunks of about 2**10 bytes.
@@ -75,7 +75,9 @@ def _sketches():
         out = np.full(len(texts), np.iinfo(np.int64).max)
         full = np.flatnonzero(np.diff(first))
         if len(full):
-            out[full] = np.minimum.reduceat(hashes, first[full])
+            # the least hash of many chunks is small: mixed again, long texts don't gather in one range
+            least = np.minimum.reduceat(hashes, first[full])
+            out[full] = mixed(least.view(np.uint64)).view(np.int64)
         return [pa.array(out)]
 
     return make
