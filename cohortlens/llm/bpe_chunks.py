@@ -30,6 +30,8 @@ MAX_CHUNK = 8192
 WINDOW = 16
 #: Chunks a task remembers before it starts with an empty memo again.
 MEMO_CHUNKS = 8192
+#: Units it remembers beside them: fewer than where there are no chunks.
+MEMO_UNITS = 250_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -96,7 +98,7 @@ class ChunkEncoder:
     """Ids of texts from remembered chunks and repaired joins."""
 
     def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
-        self.units = UnitEncoder(path)
+        self.units = UnitEncoder(path, memo_units=MEMO_UNITS)
         if not self.units.drops_space:
             raise ValueError("the joins need a tokenizer that starts anew at every space")
         self.memo: dict[str, Chunk] = {}

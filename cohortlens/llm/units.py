@@ -17,9 +17,8 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Units a worker remembers; above that it starts with an empty memo again.
+#: The same bound holds for parts of units that the model was asked for.
 MEMO_UNITS = 500_000
-#: Parts of units that the model was asked for and a worker remembers.
-MEMO_PARTS = 500_000
 #: Characters of a piece of a text that is not split into units.
 PIECE_CHARS = 1 << 15
 
@@ -156,7 +155,7 @@ class UnitEncoder:
         self.used = 0
 
     def _encode(self, units: list[str]) -> list[list[int]]:
-        if len(self.pretokens.memo) > MEMO_PARTS:
+        if len(self.pretokens.memo) > self.memo_units:
             self.pretokens.memo.clear()
         ids = list(map(self.pretokens.cut, units))
         other = [i for i, x in enumerate(ids) if x is None]
