@@ -29,7 +29,10 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(table):
+        if spark.catalog.tableExists(table):
+            facts = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+            self.buckets = int(facts["Num Buckets"])
+        else:
             self._append(spark.createDataFrame([], SCHEMA))
 
     def _append(self, rows: DataFrame) -> None:
@@ -68,8 +71,9 @@ class DigestIndex:
             "digest", "keep_id", "n_kept", mine.alias("mine"),
             F.when(mine, F.col("n_rows")).otherwise(F.col("n_rows") + F.col("now")).alias("group_size"),
         )
-        # a digest with very many rows: the side of the rows is split, its one index row copied
-        return ids.join(known.hint("merge"), "digest").select(
+        # both sides of the last join are dealt out anew, so that a digest with very many rows is
+        # split among tasks and its one index row copied to them
+        return ids.join(durable(known).hint("merge"), "digest").select(
             "doc_id", "digest", "keep_id", "group_size",
             (F.col("mine") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "n_kept",
         )
