@@ -8,13 +8,15 @@ time, until no bucket has a pair left that was neither linked nor ruled out.
 
 In crowded buckets pairs are ruled out by exact bounds before they are made: a shingle that
 no other class of crowded buckets has (a private one) is in no intersection and in every
-union. A class with too many of them has no partner there at all.
+union. A class with too many of them has no partner there at all. Bitmaps of the sets bound the
+rest: a bit that only one set has stands for at least one shingle that the other lacks.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,9 @@ BANDS, ROWS = 18, 4
 #: Classes from which on a bucket is crowded. Only the work depends on it.
 CROWD = 16
 #: Classes outside the largest component that a bucket compares with the rest in one round.
-PIVOTS = 256
+PIVOTS = 2048
+#: Words of 64 bits in the bitmap of a set. A fuller bitmap rules out less, never too much.
+BITMAP_WORDS = 32
 #: Sets a task remembers while it compares.
 MEMO_SETS = 512
 
@@ -162,11 +166,36 @@ def possible(percent: int, a: tuple[Column, Column], b: tuple[Column, Column]) -
     return 100 * F.least(n - p, m - q) >= percent * F.greatest(n + q, m + p)
 
 
+def _bitmaps():
+    def bitmaps(texts: pa.Array) -> list[pa.Array]:
+        sets = shingle_sets(texts)
+        out = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        place = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(16)) % np.uint64(64 * BITMAP_WORDS)
+        np.bitwise_or.at(out, (owner, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        starts = np.arange(len(sets) + 1) * BITMAP_WORDS
+        return [list_array(out.reshape(-1).view(np.int64), starts, pa.int64())]
+
+    return bitmaps
+
+
+def possible_by_bitmap(percent: int, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Whether two sets of ``(size, bitmap)`` can be similar enough."""
+    def missing(x: Column, y: Column) -> Column:
+        words = [F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(BITMAP_WORDS)]
+        return reduce(lambda p, q: p + q, words)
+
+    (n, x), (m, y) = a, b
+    shared = F.least(n - missing(x, y), m - missing(y, x))
+    return 100 * shared >= percent * (n + m - shared)
+
+
 class _Classes:
     """Classes of one run, their texts and the links found so far."""
 
-    def __init__(self, classes: DataFrame, members: DataFrame, texts: DataFrame, percent: int):
+    def __init__(self, classes: DataFrame, members: DataFrame, texts: DataFrame, bitmaps: DataFrame, percent: int):
         self.classes, self.members, self.texts, self.percent = classes, members, texts, percent
+        self.bitmaps = bitmaps
         self.links: DataFrame | None = None
 
     def link(self, pairs: DataFrame) -> None:
@@ -189,7 +218,11 @@ class _Classes:
         least = self.members.groupBy("bucket").agg(F.min(F.struct("key", "n", "private")).alias("v"))
         pairs = self.members.withColumnRenamed("key", "u").join(least, "bucket").where("u != v.key")
         fits = possible(self.percent, (F.col("n"), F.col("private")), (F.col("v.n"), F.col("v.private")))
-        return pairs.where(fits).select("u", F.col("v.key").alias("v")).distinct()
+        pairs = pairs.where(fits).select("u", F.col("v.key").alias("v"), "n", F.col("v.n").alias("m")).distinct()
+        for side in "uv":
+            pairs = pairs.join(self.bitmaps.select(F.col("key").alias(side), F.col("bitmap").alias(f"{side}_bits")), side)
+        fits = possible_by_bitmap(self.percent, (F.col("n"), F.col("u_bits")), (F.col("m"), F.col("v_bits")))
+        return pairs.where(fits).select("u", "v")
 
     def next_pairs(self, roots: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Pairs of classes outside their bucket's largest component with those of other
@@ -201,17 +234,20 @@ class _Classes:
         largest = counts.groupBy("bucket").agg(
             F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")
         ).where("parts > 1")
-        rows = rows.join(largest, "bucket").join(self.classes.select("key", "bands"), "key")
-        rows = durable(rows.select("bucket", "key", "n", "private", "root", "largest", "bands"))
+        rows = rows.join(largest, "bucket").join(self.classes.select("key", "bands"), "key").join(self.bitmaps, "key")
+        rows = durable(rows.select("bucket", "key", "n", "private", "root", "largest", "bands", "bitmap"))
         outside = rows.where("root != largest")
         if used is not None:
             outside = outside.join(used, ["bucket", "key"], "left_anti")
         slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS))
         pivots = outside.groupBy("bucket", slot.alias("slot")).agg(
-            F.min(F.struct("key", "n", "private", "root", "bands")).alias("p")
+            F.min(F.struct("key", "n", "private", "root", "bands", "bitmap")).alias("p")
         )
         pivots = durable(pivots.select("bucket", "p"))
         fits = possible(self.percent, (rows["n"], rows["private"]), (pivots["p.n"], pivots["p.private"]))
+        fits = fits & possible_by_bitmap(
+            self.percent, (rows["n"], rows["bitmap"]), (pivots["p.n"], pivots["p.bitmap"])
+        )
         first = F.array_intersect(rows["bands"], pivots["p.bands"])[0]
         pairs = rows.join(
             pivots,
@@ -260,7 +296,8 @@ def near_duplicates(
     )
     members = durable(members.select("bucket", "key", "n", "private"))
 
-    state = _Classes(classes, members, texts, percent)
+    bitmaps = durable(append_columns(texts, _bitmaps, [StructField("bitmap", ArrayType(LongType()))], ["key"]))
+    state = _Classes(classes, members, texts, bitmaps, percent)
     state.link(state.first_pairs())
     roots, used = state.roots(), None
     while True:
