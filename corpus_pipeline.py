@@ -30,6 +30,11 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return found
 
 
+#: Shingle similarity, in percent, from which on documents are near duplicates here. With 25
+#: bands a pair at this limit shares none with probability (1 - 0.8**4)**25, less than 2e-6.
+NEAR_PERCENT, NEAR_BANDS = 80, 25
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -53,12 +58,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id.
+    """One document of each component of a similarity of 0.8: the one with the smallest doc_id.
 
     A doc_id names a document: rows that share one stay together if any of them is kept.
     Of a component of rows without doc_id, all stay.
     """
-    rows = near_dedup.near_duplicates(docs)
+    rows = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
     dropped = rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
     return unpacked(packed(docs).join(durable(dropped), "doc_id", "left_anti"), docs)
 

@@ -75,3 +75,19 @@ def test_stages_keep_columns_and_take_empty_tables(spark, corpus):
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Pairs from 0.80 to 0.85 are near duplicates in the stage, those just below 0.80 are not."""
+    rng, texts = random.Random(6), []
+    for k in range(80):
+        words = [f"x{rng.randrange(10**9)}" for _ in range(100 if k % 2 else 88)]
+        other = list(words)
+        other[20], other[60] = "one", "two"  # ten shingles: 86 of 106 are shared, or 74 of 94
+        texts += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, roots = brute.near_components(texts, 80)
+    kept = {i for i, r in enumerate(roots) if r == i}
+    assert len(kept) == 120 and len(set(brute.near_components(texts)[1])) == 160
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert {r.doc_id for r in got.collect()} == kept
