@@ -1,5 +1,5 @@
-"""Queries that fit models on the given tables. Their sizes are parameters of the fits;
-the rows are always all rows."""
+"""Queries that fit models on the given tables, with the sizes of a full run and over all
+steps. A fit for step n sees the steps before n only, of all entities."""
 
 from __future__ import annotations
 
@@ -11,27 +11,18 @@ from cohortlens.plans.registry import query
 from cohortlens.plans.testbed import SQL_DENSE, TESTS, axis, cells, dense, table
 from cohortlens.session import durable
 
-SMALL = production.Settings(
-    min_cluster_size=20,
-    cluster_starts=2,
-    pool_steps=10,
-    w1=4,
-    w2=6,
-    horizon=8,
-    boosting_rounds=5,
-    trees=10,
-    residual_trees=20,
-    residual_window=50,
-    gate_trees=10,
-    depth=4,
-    in_sample=True,
-)
+#: A full run. The early steps of a small table have fewer residuals than a window has.
+FULL = production.Settings(short_windows=True)
 
 
 def cohort_of(spark, sf_dir, parts=None) -> production.Cohort:
     origin, n_steps = axis(spark, sf_dir)
     rows = cells(spark, sf_dir, origin)
-    return production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, SMALL, parts)
+    return production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, FULL, parts)
+
+
+def horizons(cohort: production.Cohort) -> list[int]:
+    return list(range(1, cohort.n_steps + 1))
 
 
 @query()
@@ -85,10 +76,10 @@ def pca_step_embedding(spark, sf_dir):
 
 @query()
 def horizon_classifier(spark, sf_dir):
-    """Boosted classifiers after the first steps: conformal coverage and width."""
+    """Boosted classifiers after the first n steps, every n: conformal coverage and width."""
     cohort = cohort_of(spark, sf_dir)
-    fits = production.fit_conformal(cohort.people, [1, 4, 8], cohort.width, SMALL)
-    return production.evaluate_conformal(cohort.people, fits, cohort.width, SMALL.cp_alpha)
+    fits = production.fit_conformal(cohort.people, horizons(cohort), cohort.width, FULL)
+    return production.evaluate_conformal(cohort.people, fits, cohort.width, FULL.cp_alpha)
 
 
 @query()
@@ -109,7 +100,7 @@ def platt_calibrated(spark, sf_dir):
     )
     dealt = durable(split.stratified_split(rows, "doc_id", "y"))
     feats = horizon.first_steps(dealt, 1, 4)
-    base = horizon.boosted(5)
+    base = horizon.boosted()
     model = horizon.fit_calibrated(
         base,
         feats.where(F.col("split") == "train").select("features", "y"),
@@ -122,15 +113,15 @@ def platt_calibrated(spark, sf_dir):
 def sequential_interval_one(spark, sf_dir):
     """Upper bound of the next mark at each step."""
     cohort = cohort_of(spark, sf_dir)
-    return production.next_mark_bounds(cohort, SMALL)
+    return production.next_mark_bounds(cohort, FULL)
 
 
 @query()
 def sequential_interval_two(spark, sf_dir):
     """Interval of the last mark after the first steps."""
     cohort = cohort_of(spark, sf_dir)
-    rows = production.last_mark_rows(cohort, SMALL)
-    models = production.fit_last_mark(cohort, rows, SMALL)
+    rows = production.last_mark_rows(cohort, FULL)
+    models = production.fit_last_mark(cohort, rows, FULL)
     parts = [
         m.transform(rows.where(F.col("step_idx") == n)).select(
             "entity", F.lit(n).alias("n"), "lo", "hi"
@@ -147,28 +138,28 @@ def sequential_interval_two(spark, sf_dir):
 def gate_train(spark, sf_dir):
     """Set metrics of conformal, interval, united and gated sets per horizon."""
     cohort = cohort_of(spark, sf_dir)
-    rows = production.last_mark_rows(cohort, SMALL)
-    intervals = production.fit_last_mark(cohort, rows, SMALL)
-    fits = production.fit_conformal(cohort.people, sorted(intervals), cohort.width, SMALL)
-    gates = production.fit_gates(cohort, rows, fits, intervals, SMALL)
-    return production.replay(cohort, rows, fits, intervals, gates, SMALL.cp_alpha)
+    rows = production.last_mark_rows(cohort, FULL)
+    intervals = production.fit_last_mark(cohort, rows, FULL)
+    fits = production.fit_conformal(cohort.people, horizons(cohort), cohort.width, FULL)
+    gates = production.fit_gates(cohort, rows, fits, intervals, FULL)
+    return production.replay(cohort, rows, fits, intervals, gates, FULL.cp_alpha)
 
 
 @query()
 def next_mark_classifier(spark, sf_dir):
     """Conformal coverage and width with the bound for the next mark as a feature."""
     cohort = cohort_of(spark, sf_dir)
-    extended = production.with_next_marks(cohort, production.next_mark_bounds(cohort, SMALL))
-    fits = production.fit_conformal(extended.people, [6], extended.width, SMALL)
-    return production.evaluate_conformal(extended.people, fits, extended.width, SMALL.cp_alpha)
+    extended = production.with_next_marks(cohort, production.next_mark_bounds(cohort, FULL))
+    fits = production.fit_conformal(extended.people, horizons(extended), extended.width, FULL)
+    return production.evaluate_conformal(extended.people, fits, extended.width, FULL.cp_alpha)
 
 
 @query()
 def score_and_project(spark, sf_dir):
     """Predictions per horizon, coordinates and clusters of every entity."""
     cohort = cohort_of(spark, sf_dir)
-    fits = production.fit_conformal(cohort.people, [1, 2], cohort.width, SMALL)
-    out = scoring.score_and_project(cohort, fits, 2, 0.1, pool_steps=10, n_init=2)
+    fits = production.fit_conformal(cohort.people, horizons(cohort), cohort.width, FULL)
+    out = scoring.score_and_project(cohort, fits, cohort.n_steps, 0.1)
     return out.drop("source")
 
 
@@ -176,12 +167,6 @@ def score_and_project(spark, sf_dir):
 def evaluator(spark, sf_dir):
     """Base models side by side: coverage and width of four kinds of sets."""
     cohort = cohort_of(spark, sf_dir, split.FOUR_WAY)
-    rows = production.last_mark_rows(cohort, SMALL)
-    intervals = production.fit_last_mark(cohort, rows, SMALL)
-    models = {
-        "RF": lambda: horizon.forest(20, depth=5),
-        "LR": lambda: horizon.logistic(50),
-        "GB": lambda: horizon.boosted(5),
-    }
-    only = {n: m for n, m in intervals.items() if n == SMALL.horizon}
-    return evaluation.evaluate(cohort, rows, only, models, SMALL, alpha=0.1)
+    rows = production.last_mark_rows(cohort, FULL)
+    intervals = production.fit_last_mark(cohort, rows, FULL)
+    return evaluation.evaluate(cohort, rows, intervals, horizon.default_models(), FULL, alpha=0.1)
