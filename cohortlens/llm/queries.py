@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from cohortlens.llm import (
-    bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, secret_scan, token_counts, token_store, toxicity, warc,
+    bpe_chunks, decontaminate, exact_dedup, kneser_ney, near_dedup, personal, phrases, secret_scan, spelling, token_counts,
+    token_store, toxicity, warc,
 )
 from cohortlens.session import shared_folder
 
@@ -190,3 +191,65 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = f"{shared_folder(spark)}/{new_name('tokens')}"
     return token_store.read(token_store.write(documents(spark, sf_dir), path, folder, end_id=0))
+
+
+@query(r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+counts AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM words, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k)
+    GROUP BY ALL HAVING count(*) >= 30),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(f) AS longer FROM (
+        SELECT lang, w, f, size, unnest(range(1, k - size + 2)) AS i
+        FROM found, (VALUES (2), (3)) AS sizes(size) WHERE k > size)
+    GROUP BY ALL),
+cuts AS (
+    SELECT lang, phrase, f AS a, cut, array_to_string(w[:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM found WHERE k > 1)),
+scored AS (
+    SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+    FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = first JOIN counts r ON r.lang = c.lang AND r.phrase = rest),
+worst AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, score
+    FROM worst s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+    WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the more common word one edit away, and the last word on that way."""
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text by pattern and by context."""
+    found = personal.scan(documents(spark, sf_dir), ["doc_id"])
+    names = F.array(*[F.lit(k) for k in personal.KINDS])
+
+    def count(kind: str):
+        number = personal.KINDS.index(kind)
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])))
+
+    base = F.filter("spans", lambda s: s["kind"] < personal.KINDS.index("context"))
+    return found.select(
+        "doc_id", *[count(k) for k in personal.KINDS[:4]], F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"), count("context"),
+    )
