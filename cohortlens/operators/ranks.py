@@ -86,7 +86,10 @@ def value_buckets(df: DataFrame, value: str, n: int = 256) -> DataFrame:
     The range bounds are the only thing fetched. They are literals of the plan, so every
     evaluation of it, also one after a lost executor, puts a row in the same bucket.
     """
-    bounds = df.stat.approxQuantile(value, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    shares = [i / n for i in range(1, n)]
+    bounds = df.stat.approxQuantile(value, shares, 1.0 / (4 * n)) if shares else []
+    if not bounds:  # one range, or no value at all
+        return df.withColumn("_bucket", F.lit(0.0))
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket")
     return cut.transform(df)
@@ -155,3 +158,34 @@ def exact_quantile(
     at = F.lit(q) * (F.col("n") - 1)
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
     return found.select(*groups, value_at.alias("q_value"), "n")
+
+
+def weighted_order(
+    df: DataFrame,
+    value: str,
+    weight: str,
+    wanted: DataFrame,
+    groups: list[str],
+    buckets: int = 256,
+) -> DataFrame:
+    """Exact weighted order statistics of all groups in one pass.
+
+    ``wanted`` has a row ``(groups, name, rank)`` for each number asked for. The result gives
+    each the smallest ``value`` of its group at which the running total of ``weight``, in
+    order of values, reaches ``rank``: ``(groups, name, value)``, no row if it never does.
+    Weights are whole numbers, so that totals are the same in any order of summation; rows
+    whose value is NULL or whose weight is not positive count for nothing.
+    """
+    used = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    sums = durable(used.groupBy(*groups, value).agg(F.sum(weight).alias("_w")))
+    ranked = running_totals(value_buckets(sums, value, buckets), groups, "_bucket", [value], {"_t": "_w"})
+    cells = durable(
+        ranked.select(*groups, "_bucket", value, (F.col("_t_cum") - F.col("_w")).alias("_from"), F.col("_t_cum").alias("_to"))
+    )
+    # a rank is first placed in its bucket, then looked for among that bucket's values
+    spans = cells.groupBy(*groups, "_bucket").agg(F.min("_from").alias("_a"), F.max("_to").alias("_b"))
+    placed = joined(wanted, spans, groups).where((F.col("rank") > F.col("_a")) & (F.col("rank") <= F.col("_b")))
+    placed = placed.select(*groups, "_bucket", "name", "rank")
+    found = joined(cells, placed, [*groups, "_bucket"])
+    hit = (F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to"))
+    return found.where(hit).select(*groups, "name", value)

@@ -80,26 +80,39 @@ def sequence_index(df: DataFrame, key: str, step: str = "step_idx", seed: int =
     )
 
 
-def sliding_windows(
-    df: DataFrame, value: str, w: int, index: str = "idx", block: int | None = None
-) -> DataFrame:
-    """For each row of the sequence from the ``w``-th on, the ``w`` values before it.
-
-    The sequence is cut into blocks and each block also gets the last ``w`` rows of the
-    one before, so every window lies in one block. Blocks are much longer than ``w``,
-    which keeps the copied share small.
-    """
+def _in_blocks(df: DataFrame, w: int, index: str, block: int | None):
+    """The sequence cut into blocks, each with the last ``w`` rows of the one before as well, so
+    that every window lies in one block. Blocks are much longer than ``w``, which keeps the
+    copied share small. Returns the rows, the window of up to ``w`` rows before, and which rows
+    are a block's own."""
     size = max(block or 20 * w, w)
     home = F.floor(F.col(index) / size)
     is_tail = F.pmod(F.col(index), F.lit(size)) >= size - w
     blocks = F.when(is_tail, F.array(home, home + 1)).otherwise(F.array(home))
     placed = df.select("*", home.alias("_home"), F.explode(blocks).alias("_block"))
     prior = Window.partitionBy("_block").orderBy(index).rowsBetween(-w, -1)
-    return (
-        placed.withColumn("window", F.collect_list(value).over(prior))
-        .where((F.col("_block") == F.col("_home")) & (F.col(index) >= w))
-        .drop("_block", "_home")
+    return placed, prior, F.col("_block") == F.col("_home")
+
+
+def sliding_windows(
+    df: DataFrame, value: str, w: int, index: str = "idx", block: int | None = None
+) -> DataFrame:
+    """For each row of the sequence from the ``w``-th on, the ``w`` values before it."""
+    placed, prior, own = _in_blocks(df, w, index, block)
+    out = placed.withColumn("window", F.collect_list(value).over(prior))
+    return out.where(own & (F.col(index) >= w)).drop("_block", "_home")
+
+
+def window_moments(
+    df: DataFrame, value: str, w: int, index: str = "idx", block: int | None = None
+) -> DataFrame:
+    """Add ``before_mean`` and ``before_sd`` of up to ``w`` values before each row of the
+    sequence; NULL for the first row. No window is ever built."""
+    placed, prior, own = _in_blocks(df, w, index, block)
+    out = placed.withColumns(
+        {"before_mean": F.avg(value).over(prior), "before_sd": F.stddev_pop(value).over(prior)}
     )
+    return out.where(own).drop("_block", "_home")
 
 
 def trailing_window(df: DataFrame, value: str, w: int, index: str = "idx") -> DataFrame:

@@ -5,20 +5,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import clusters, horizon, projection, split
+from cohortlens.operators import clusters, horizon, projection, sequential, split
 from cohortlens.plans import evaluation, production, scoring
 from cohortlens.plans.registry import query
-from cohortlens.plans.testbed import SQL_DENSE, TESTS, axis, cells, dense, table
+from cohortlens.plans.testbed import ALPHA, SQL_CELLS, SQL_DENSE, TESTS, axis, cells, dense, table
 from cohortlens.session import durable
 
-#: A full run. The early steps of a small table have fewer residuals than a window has.
-FULL = production.Settings(short_windows=True)
+#: A full run.
+FULL = production.Settings()
+
+_COHORTS: dict[tuple, production.Cohort] = {}
 
 
 def cohort_of(spark, sf_dir, parts=None) -> production.Cohort:
-    origin, n_steps = axis(spark, sf_dir)
-    rows = cells(spark, sf_dir, origin)
-    return production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, FULL, parts)
+    """The cohort of the tables. Its own tables are written, so the queries of one application
+    share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(parts or ()))
+    if key not in _COHORTS:
+        origin, n_steps = axis(spark, sf_dir)
+        rows = cells(spark, sf_dir, origin)
+        _COHORTS[key] = production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, FULL, parts)
+    return _COHORTS[key]
 
 
 def horizons(cohort: production.Cohort) -> list[int]:
@@ -109,6 +116,27 @@ def platt_calibrated(spark, sf_dir):
     return horizon.probabilities(model, feats).select("doc_id", "y", "split", "p1")
 
 
+@query(
+    f"""WITH {SQL_CELLS},
+    v AS (SELECT step_idx, CAST(cents AS DOUBLE) AS v, sum(k_sum) AS w FROM cells WHERE k_sum > 0 GROUP BY 1, 2),
+    c AS (SELECT step_idx, v, sum(w) OVER (PARTITION BY step_idx ORDER BY v) AS upto,
+      sum(w) OVER (PARTITION BY step_idx) AS total FROM v),
+    r AS (SELECT step_idx, j,
+        least(total, greatest(1, floor(round(j * 0.001e0 * total, 6)))) AS low,
+        least(total, greatest(1, ceil(round((0.9e0 + j * 0.001e0) * total, 6)))) AS high
+      FROM (SELECT DISTINCT step_idx, total FROM c), (SELECT unnest(range(0, 101)) AS j)),
+    p AS (SELECT r.step_idx, r.j, min(v) FILTER (WHERE upto >= low) AS lo, min(v) FILTER (WHERE upto >= high) AS hi
+      FROM r JOIN c ON c.step_idx = r.step_idx GROUP BY 1, 2)
+    SELECT CAST(step_idx AS BIGINT) AS step_idx, lo, hi FROM p
+    QUALIFY row_number() OVER (PARTITION BY step_idx ORDER BY hi - lo, j) = 1"""
+)
+def weighted_residual_quantile(spark, sf_dir):
+    """Narrowest range of the marks of each step, weighted by another of its cells."""
+    origin, _ = axis(spark, sf_dir)
+    rows = cells(spark, sf_dir, origin).select("step_idx", F.col("cents").cast("double").alias("v"), "k_sum")
+    return sequential.weighted_interval(durable(rows), "v", "k_sum", ["step_idx"], 2, ALPHA)
+
+
 @query()
 def sequential_interval_one(spark, sf_dir):
     """Upper bound of the next mark at each step."""

@@ -88,11 +88,12 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return out if how == "left_semi" else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def in_parallel(spark: SparkSession, fn: Callable, items: list, threads: int = 4) -> dict:
+def in_parallel(spark: SparkSession, fn: Callable, items: list, threads: int | None = None) -> dict:
     """``fn`` of each item, several jobs at a time, as a dict by item.
 
     For independent fits: the threads keep the cluster busy between the short stages of
-    a single one.
+    a single one. By default as many run as there are cores, four at least.
     """
-    with ThreadPoolExecutor(threads) as pool:
+    threads = threads or max(4, spark.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(max(1, min(threads, len(items)))) as pool:
         return dict(zip(items, pool.map(inheritable_thread_target(spark)(fn), items)))

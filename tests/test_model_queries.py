@@ -1,12 +1,10 @@
 """The model queries ask for the whole job: full sizes and every step."""
 
-from dataclasses import replace
 from types import SimpleNamespace
 
-import numpy as np
 import pytest
 
-from cohortlens.operators import horizon, sequential
+from cohortlens.operators import horizon
 from cohortlens.plans import model_queries, production
 
 STEPS = 30
@@ -45,7 +43,7 @@ def test_all_horizons(asked, name):
     for args, _ in asked.values():
         for given in args:
             if isinstance(given, production.Settings):
-                assert replace(given, short_windows=False) == production.Settings()
+                assert given == production.Settings()
     if name == "score_and_project":
         args, kwargs = asked[name]
         assert args[2] == STEPS and not kwargs
@@ -55,7 +53,7 @@ def test_bounds_and_evaluator(asked):
     model_queries.sequential_interval_one(None, "")
     model_queries.evaluator(None, "")
     for name, at in (("next_mark_bounds", 1), ("fit_last_mark", 2), ("evaluate", 4)):
-        assert replace(asked[name][0][at], short_windows=False) == production.Settings()
+        assert asked[name][0][at] == production.Settings()
     _, _, intervals, models, _ = asked["evaluate"][0]
     assert sorted(intervals) == list(range(11, STEPS)) and models == horizon.default_models()
 
@@ -70,19 +68,3 @@ def test_calibrated_rounds(spark, monkeypatch):
     monkeypatch.setattr(horizon, "fit_calibrated", fit)
     with pytest.raises(Asked, match="^100$"):
         model_queries.platt_calibrated(spark, "/root/testdata/sf0.001")
-
-
-def test_short_windows(spark):
-    rng = np.random.default_rng(4)
-    rows = [(f"e{i}", 0, [float(i % 3)], float(rng.random())) for i in range(40)]
-    df = spark.createDataFrame(rows, "entity string, step_idx int, lags array<double>, target double")
-    sizes = {"trees": 2, "residual_trees": 2, "depth": 3}
-    with pytest.raises(ValueError, match="too few"):
-        sequential.StepInterval(2, w=300, **sizes).fit(df)
-    with pytest.raises(ValueError, match="too few"):
-        sequential.StepInterval(2, w=300, short_windows=True, **sizes).fit(df.limit(6))
-    made = sequential.StepInterval(2, w=300, short_windows=True, **sizes).fit(df).transform(df).collect()
-    assert len(made) == 40 and all(r.lo <= r.hi for r in made)
-    # a window that fits is left alone
-    a, b = (sequential.StepInterval(2, w=30, short_windows=s, **sizes).fit(df).offsets for s in (False, True))
-    assert a == b
