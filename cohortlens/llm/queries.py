@@ -162,7 +162,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     folder = f"{shared_folder(spark)}/{new_name('warc')}"
     records = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    records.write.format("warc").mode("append").save(folder)
+    records.write.format("warc").mode("append").option("compression", "gzip").save(folder)
     return warc.read_pages(spark, folder)
 
 
