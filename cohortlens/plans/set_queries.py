@@ -626,3 +626,25 @@ def hamming_knn(spark, sf_dir):
     bits = F.array(*[frames.to_bit(F.col(t).cast("double")) for t in TESTS])
     marked = durable(rows.select("entity", "step_idx", bits.alias("bits")))
     return neighbours.hamming_neighbours(marked, "entity", "bits", len(TESTS), _K, "step_idx")
+
+
+# Letters whose pairs are looked for in a text, a bit for each of the 72 pairs.
+_PAIRS = [a + b for a in "aeinorst" for b in "aeinorstl"]
+_SQL_PAIRS = " || ".join(f"CASE WHEN contains(t, '{p}') THEN '1' ELSE '0' END" for p in _PAIRS)
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t FROM documents),
+    b AS (SELECT doc_id, lang, {_SQL_PAIRS} AS bits FROM d),
+    r AS (SELECT a.lang, a.doc_id, o.doc_id AS neighbour, hamming(a.bits, o.bits) AS dist,
+      row_number() OVER (PARTITION BY a.doc_id ORDER BY hamming(a.bits, o.bits), o.doc_id) AS rank
+      FROM b a JOIN b o ON o.lang = a.lang AND o.doc_id <> a.doc_id)
+    SELECT lang, doc_id, rank, neighbour, CAST(dist AS BIGINT) AS dist FROM r WHERE rank <= {_K}"""
+)
+def hamming_knn_wide(spark, sf_dir):
+    """Nearest documents of a language by the pairs of letters they contain; more bits than a
+    number holds."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    bits = F.array(*[F.contains(text, F.lit(p)).cast("int") for p in _PAIRS])
+    rows = durable(table(spark, sf_dir, "documents").select("doc_id", "lang", bits.alias("bits")))
+    return neighbours.hamming_neighbours(rows, "doc_id", "bits", len(_PAIRS), _K, "lang")
