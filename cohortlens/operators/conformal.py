@@ -1,21 +1,20 @@
 """Conformal prediction sets for two classes: score quantiles, global and by partition.
 
-The score of a class is ``1 - p``. Scores are rounded to six digits, so a partition has at
-most a million distinct ones and its histogram fits one task however many rows it has.
+The score of a class is ``1 - p``, as it is. Limits are exact order statistics found by counting,
+so no partition is ever sorted whole however many distinct scores it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.session import small_side, with_row
-
-SCORE_DIGITS = 6
+from cohortlens.operators.ranks import order_values
+from cohortlens.session import durable, joined, small_side, with_row
 
 
 def class_score(p1: Column, cls: int) -> Column:
-    return F.round(F.lit(1.0) - p1 if cls == 1 else p1, SCORE_DIGITS)
+    return F.lit(1.0) - p1 if cls == 1 else p1
 
 
 def true_score(p1: Column, y: Column) -> Column:
@@ -23,32 +22,36 @@ def true_score(p1: Column, y: Column) -> Column:
 
 
 def score_histogram(cal: DataFrame, groups: list[str]) -> DataFrame:
-    """Counts of the true-class scores, per group, of calibration rows ``(p1, y)``."""
+    """Counts ``n`` of the true-class scores, by class, per group, of calibration rows
+    ``(p1, y)``. All limits can be read from it, and two of them add up to one."""
     scored = cal.withColumn("score", true_score(F.col("p1"), F.col("y")))
-    return scored.groupBy(*groups, "score").agg(F.count("*").alias("n"))
+    return scored.groupBy(*groups, "y", "score").agg(F.count("*").alias("n"))
+
+
+def merge_histograms(parts: list[DataFrame], groups: list[str]) -> DataFrame:
+    """The state of all calibration rows from the states of parts of them."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*groups, "y", "score").agg(F.sum("n").alias("n"))
 
 
 def quantile_of(hist: DataFrame, groups: list[str], alpha: float) -> DataFrame:
     """``k``-th smallest score with ``k = ceil((n+1)(1-alpha))``; NULL if ``k > n``, which
     stands for a limit no score exceeds."""
-    order = Window.partitionBy(*groups).orderBy("score")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups)
-    ranked = hist.select(
-        *groups,
-        "score",
-        F.sum("n").over(upto).alias("_cum"),
-        F.sum("n").over(whole).alias("_all"),
-    )
-    k = F.ceil(F.round((F.col("_all") + 1) * F.lit(1.0 - alpha), 9))
-    return ranked.groupBy(*groups).agg(
-        F.min(F.when(F.col("_cum") >= k, F.col("score"))).alias("q"), F.max("_all").alias("n_cal")
-    )
+    sizes = durable(hist.groupBy(*groups).agg(F.sum("n").alias("n_cal")))
+    k = F.ceil(F.round((F.col("n_cal") + 1) * F.lit(1.0 - alpha), 9))
+    wanted = sizes.where(F.col("n_cal") > 0).select(*groups, F.lit("q").alias("name"), k.alias("rank"))
+    found = order_values(hist, "score", wanted, groups, "n").select(*groups, F.col("score").alias("q"))
+    if groups:
+        return joined(sizes, found, groups, "left").select(*groups, "q", "n_cal")
+    only = found.agg(F.max("q").alias("q"))  # one row, also without a limit
+    return with_row(sizes, only).select("q", "n_cal")
 
 
 def lac_quantile(cal: DataFrame, alpha: float, groups: list[str] | None = None) -> DataFrame:
     groups = groups or []
-    return quantile_of(score_histogram(cal, groups), groups, alpha)
+    return quantile_of(durable(score_histogram(cal, groups)), groups, alpha)
 
 
 def sets_from(df: DataFrame, q: Column) -> DataFrame:
@@ -58,7 +61,10 @@ def sets_from(df: DataFrame, q: Column) -> DataFrame:
 
 
 def _attach(rows: DataFrame, limits: DataFrame, groups: list[str]) -> DataFrame:
-    return rows.join(small_side(limits), groups, "left") if groups else with_row(rows, limits)
+    if not groups:
+        return with_row(rows, limits)
+    found = joined(rows, small_side(limits), groups, "left")
+    return found.select(*groups, *[F.col(f"`{c}`") for c in found.columns if c not in groups])
 
 
 def lac_sets(
@@ -76,15 +82,16 @@ def partition_limits(
 ) -> DataFrame:
     """Per partition: its limit, its calibration rows, its lowest class, and whether both
     classes occur."""
+    return limits_of(durable(score_histogram(cal, [*(groups or []), part])), alpha, part, groups)
+
+
+def limits_of(hist: DataFrame, alpha: float, part: str, groups: list[str] | None = None) -> DataFrame:
+    """The same from a stored state, at any level."""
     keys = [*(groups or []), part]
-    scored = cal.withColumn("score", true_score(F.col("p1"), F.col("y")))
-    hist = scored.groupBy(*keys, "score").agg(
-        F.count("*").alias("n"), F.min("y").alias("_y0"), F.max("y").alias("_y1")
-    )
     classes = hist.groupBy(*keys).agg(
-        F.min("_y0").alias("only_class"), (F.min("_y0") < F.max("_y1")).alias("both_classes")
+        F.min("y").alias("only_class"), (F.min("y") < F.max("y")).alias("both_classes")
     )
-    return quantile_of(hist, keys, alpha).join(classes, keys)
+    return joined(quantile_of(hist, keys, alpha), classes, keys)
 
 
 def mondrian_sets(
@@ -104,11 +111,26 @@ def mondrian_sets(
     if fallback not in ("global", "only_class"):
         raise ValueError(f"unknown fallback {fallback!r}")
     groups = groups or []
-    limits = partition_limits(cal, alpha, part, groups).drop("n_cal")
-    overall = lac_quantile(cal, alpha, groups).select(*groups, F.col("q").alias("_q_all"))
-    joined = _attach(_attach(rows, limits, [*groups, part]), overall, groups)
+    hist = durable(score_histogram(cal, [*groups, part]))
+    return mondrian_sets_of(rows, hist, alpha, part, fallback, groups)
+
+
+def mondrian_sets_of(
+    rows: DataFrame,
+    hist: DataFrame,
+    alpha: float,
+    part: str,
+    fallback: str = "global",
+    groups: list[str] | None = None,
+) -> DataFrame:
+    """The same from a stored state: ``score_histogram`` by ``groups`` and ``part``."""
+    groups = groups or []
+    limits = limits_of(hist, alpha, part, groups).drop("n_cal")
+    whole = hist.groupBy(*groups, "score").agg(F.sum("n").alias("n"))
+    overall = quantile_of(whole, groups, alpha).select(*groups, F.col("q").alias("_q_all"))
+    placed = _attach(_attach(rows, limits, [*groups, part]), overall, groups)
     own = F.when(F.col("both_classes"), F.col("q"))
-    out = sets_from(joined, F.coalesce(own, F.col("_q_all")))
+    out = sets_from(placed, F.coalesce(own, F.col("_q_all")))
     if fallback == "only_class":
         single = F.col("both_classes").isNotNull() & ~F.col("both_classes")
         out = out.withColumns(

@@ -14,6 +14,8 @@ from cohortlens.session import durable, joined, small_side, with_row
 
 #: Hex digits of the hash that name a bucket: 16**3 buckets.
 BUCKET_DIGITS = 3
+#: Distinct values that are sorted together, and parts a range of values is cut into.
+BOUND, CELLS = 10_000, 64
 
 
 def hash_of(key: Column, seed: int | str) -> Column:
@@ -101,61 +103,104 @@ def value_histogram(df: DataFrame, value: str, groups: list[str] | None = None)
     return durable(df.groupBy(*(groups or []), value).agg(F.count("*").alias("n")))
 
 
-def exact_quantile(
+def order_values(
     df: DataFrame,
     value: str,
-    q: float,
-    groups: list[str] | None = None,
-    accuracy: int = 10_000,
+    wanted: DataFrame,
+    groups: list[str],
+    weight: str | None = None,
+    bound: int = BOUND,
 ) -> DataFrame:
-    """Exact quantile with linear interpolation, one row per group: ``(groups, q_value, n)``.
+    """Exact order statistics of all groups at once, without a sort of a group.
+
+    ``wanted`` has a row ``(groups, name, rank)`` for each number asked for, a few per group. The
+    result gives each the smallest ``value`` of its group at which the number of rows up to it
+    (or the whole-numbered ``weight`` of those rows) reaches ``rank``: ``(groups, name, value)``,
+    no row if it never does. NULL values and weights that are not positive count for nothing.
 
-    A sketch brackets the wanted rank; the values inside the bracket, about
-    ``4/accuracy`` of the rows, are then counted exactly.
+    A bracket around each rank, at first the whole group, is cut at sketched quantiles of the
+    distinct values in it and narrowed to the part that holds the rank, by counting. That
+    repeats until no bracket holds more than ``bound`` distinct values, which are then counted
+    one by one. Each round leaves about a ``CELLS``-th, so a few do at any size.
     """
+    rows = _distinct(df, value, groups, weight)
+    asked = wanted.select(_group(groups), "name", F.col("rank").cast("long").alias("rank"))
+    brackets = narrowed(rows, asked, bound)
+    found = _holding(_inside(rows, brackets).withColumnRenamed("_w", "_s"), "_v")
+    return found.select(*[F.col("_g")[g].alias(g) for g in groups], "name", F.col("_v").alias(value))
+
+
+_SIZE = ["_n", "_lo", "_hi"]
+
+
+def _group(groups: list[str]) -> Column:
+    return F.struct(F.lit(0).alias("_all"), *groups).alias("_g")
+
+
+def _distinct(df: DataFrame, value: str, groups: list[str], weight: str | None) -> DataFrame:
+    """``(_g, _v, _w)``: each distinct value of a group with its weight."""
+    heft = F.col(weight) if weight else F.lit(1).cast("long")
+    rows = df.select(_group(groups), F.col(value).alias("_v"), heft.alias("_w"))
+    rows = rows.where(F.col("_v").isNotNull() & (F.col("_w") > 0))
+    return durable(rows.groupBy("_g", "_v").agg(F.sum("_w").alias("_w")))
+
+
+def _sizes() -> list[Column]:
+    return [c.alias(n) for c, n in zip((F.count("*"), F.min("_v"), F.max("_v")), _SIZE, strict=True)]
+
+
+def _inside(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    some = small_side(brackets.select("_g", "name", "rank", "_below", "_lo", "_hi"))
+    return joined(rows, some, ["_g"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _holding(cells: DataFrame, order: str) -> DataFrame:
+    """Of the cells of each bracket, with their weights ``_s``, the one its rank falls into."""
+    upto = Window.partitionBy("_g", "name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_to", F.col("_below") + F.sum("_s").over(upto))
+    return cells.where((F.col("rank") <= F.col("_to")) & (F.col("rank") > F.col("_to") - F.col("_s")))
+
+
+def narrowed(rows: DataFrame, asked: DataFrame, bound: int) -> DataFrame:
+    """A bracket ``_lo`` to ``_hi`` around each rank of ``(_g, name, rank)``, with ``_n <= bound``
+    distinct values in it and ``_below`` as the weight of those before it."""
+    keys = ["_g", "name"]
+    state = joined(asked, rows.groupBy("_g").agg(*_sizes()), ["_g"])
+    state = durable(state.withColumn("_below", F.lit(0).cast("long")))
+    bound = max(bound, 2 * CELLS)
+    while True:
+        open_ = state.where(F.col("_n") > bound)
+        if open_.isEmpty():
+            return state
+        near = _inside(rows, open_)
+        cuts = F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10 * CELLS)
+        cuts = small_side(near.groupBy(*keys).agg(cuts.alias("_cuts")))
+        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_cell")
+        cells = joined(near, cuts, keys).select(*keys, "rank", "_below", "_v", "_w", cell)
+        cells = cells.groupBy(*keys, "rank", "_below", "_cell").agg(F.sum("_w").alias("_s"), *_sizes())
+        hit = _holding(cells, "_cell").withColumn("_below", F.col("_to") - F.col("_s")).select(*state.columns)
+        state = durable(state.where(F.col("_n") <= bound).unionByName(hit))
+
+
+def exact_quantile(
+    df: DataFrame, value: str, q: float, groups: list[str] | None = None, bound: int = BOUND
+) -> DataFrame:
+    """Exact quantile with linear interpolation, one row per group: ``(groups, q_value, n)``."""
     groups = groups or []
-    margin = 2.0 / accuracy
-    ends = [max(0.0, q - margin), min(1.0, q + margin)]
     present = df.where(F.col(value).isNotNull()).select(*groups, value)
-    sketch = F.percentile_approx(value, ends, accuracy)
-    bracket = present.groupBy(*groups).agg(sketch.alias("_ends"))
-    if groups:
-        tagged = joined(present, small_side(bracket), groups)
-    else:
-        tagged = with_row(present, bracket)
-    zone = (
-        F.when(F.col(value) < F.col("_ends")[0], F.lit(0))
-        .when(F.col(value) > F.col("_ends")[1], F.lit(2))
-        .otherwise(F.lit(1))
-    )
-    cells = (
-        tagged.select(*groups, F.col(value).alias("_v"), zone.alias("_zone"))
-        .groupBy(*groups, "_zone", F.when(F.col("_zone") == 1, F.col("_v")).alias("_key"))
-        .agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    )
-    order = Window.partitionBy(*groups).orderBy("_zone", "_key")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups)
-    ranked = cells.select(
-        "*", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(whole).alias("_all")
-    )
-    # Outside the bracket only the nearest value is known: the largest one below it and
-    # the smallest one above it.
-    pos = F.lit(q) * (F.col("_all") - 1)
-    picks = []
-    for name, rank in (("_lo", F.floor(pos) + 1), ("_hi", F.ceil(pos) + 1)):
-        known = (
-            F.when(F.col("_zone") == 1, F.col("_key"))
-            .when((F.col("_zone") == 0) & (rank == F.col("_cum")), F.col("_max"))
-            .when((F.col("_zone") == 2) & (rank == F.col("_cum") - F.col("_n") + 1), F.col("_min"))
-        )
-        hit = (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_n") < rank)
-        safe = F.when(
-            hit & known.isNull(), F.raise_error(F.lit("quantile sketch missed the rank"))
-        ).when(hit, known)
-        picks.append(F.max(safe).alias(name))
-    found = ranked.groupBy(*groups).agg(*picks, F.max("_all").alias("n"))
+    sizes = durable(present.groupBy(*groups).agg(F.count("*").alias("n")).where(F.col("n") > 0))
     at = F.lit(q) * (F.col("n") - 1)
+    ranks = F.array(
+        F.struct(F.lit("lo").alias("name"), (F.floor(at) + 1).alias("rank")),
+        F.struct(F.lit("hi").alias("name"), (F.ceil(at) + 1).alias("rank")),
+    )
+    found = order_values(present, value, sizes.select(*groups, F.inline(ranks)), groups, bound=bound)
+    ends = [F.max(F.when(F.col("name") == e, F.col(value))).alias(f"_{e}") for e in ("lo", "hi")]
+    found = found.groupBy(*groups).agg(*ends)
+    if groups:
+        found = joined(sizes, found, groups)
+    else:  # one row, and none of an empty table
+        found = with_row(sizes, found)
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
     return found.select(*groups, value_at.alias("q_value"), "n")
 
@@ -166,18 +211,20 @@ def weighted_order(
     weight: str,
     wanted: DataFrame,
     groups: list[str],
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Exact weighted order statistics of all groups in one pass.
+    """Exact weighted order statistics of all groups in one pass, for many ranks per group.
 
     ``wanted`` has a row ``(groups, name, rank)`` for each number asked for. The result gives
     each the smallest ``value`` of its group at which the running total of ``weight``, in
     order of values, reaches ``rank``: ``(groups, name, value)``, no row if it never does.
     Weights are whole numbers, so that totals are the same in any order of summation; rows
-    whose value is NULL or whose weight is not positive count for nothing.
+    whose value is NULL or whose weight is not positive count for nothing. Ranges of values
+    that are sorted together hold ``BOUND`` distinct ones, or a 4096th of them.
     """
     used = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
     sums = durable(used.groupBy(*groups, value).agg(F.sum(weight).alias("_w")))
+    buckets = buckets or min(4096, 1 + sums.count() // BOUND)
     ranked = running_totals(value_buckets(sums, value, buckets), groups, "_bucket", [value], {"_t": "_w"})
     cells = durable(
         ranked.select(*groups, "_bucket", value, (F.col("_t_cum") - F.col("_w")).alias("_from"), F.col("_t_cum").alias("_to"))

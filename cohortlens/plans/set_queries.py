@@ -505,15 +505,15 @@ sp AS (SELECT entity, part, y, CASE WHEN CAST(entity AS BIGINT) % 10 = 0 THEN 's
    CASE WHEN r * 100 <= m * 60 THEN 'train' WHEN r * 100 <= m * 80 THEN 'cal' ELSE 'test' END AS split FROM rk),
 cum AS (SELECT entity, step_idx + 1 AS n, CAST(sum(cents) OVER (PARTITION BY entity ORDER BY step_idx) AS DOUBLE) AS c FROM dense),
 p AS (SELECT sp.*, n AS n_projects, round(n * 5000e0 / (n * 5000e0 + c), 6) AS p1 FROM sp JOIN cum USING (entity)),
-cal AS (SELECT *, CASE WHEN y = 1 THEN round(1e0 - p1, 6) ELSE p1 END AS score FROM p WHERE split = 'cal'),
+cal AS (SELECT *, CASE WHEN y = 1 THEN 1e0 - p1 ELSE p1 END AS score FROM p WHERE split = 'cal'),
 qa AS (SELECT n_projects, min(score) FILTER (WHERE rn >= ceil(round((k + 1) * 0.9e0, 9))) AS q FROM (SELECT *,
   row_number() OVER (PARTITION BY n_projects ORDER BY score) AS rn, count(*) OVER (PARTITION BY n_projects) AS k FROM cal) GROUP BY 1),
 qp AS (SELECT n_projects, part, min(score) FILTER (WHERE rn >= ceil(round((k + 1) * 0.9e0, 9))) AS q, count(DISTINCT y) AS ky FROM (SELECT *,
   row_number() OVER (PARTITION BY n_projects, part ORDER BY score) AS rn, count(*) OVER (PARTITION BY n_projects, part) AS k FROM cal) GROUP BY 1, 2),
 t AS (SELECT p.*, qa.q AS qv, coalesce(CASE WHEN ky >= 2 THEN qp.q END, qa.q) AS qm FROM p JOIN qa USING (n_projects)
   LEFT JOIN qp ON qp.n_projects = p.n_projects AND qp.part = p.part WHERE split = 'test'),
-s AS (SELECT 'vanilla' AS method, n_projects, part, source, y, qv IS NULL OR p1 <= qv AS has0, qv IS NULL OR round(1e0 - p1, 6) <= qv AS has1 FROM t
-  UNION ALL SELECT 'mondrian', n_projects, part, source, y, qm IS NULL OR p1 <= qm, qm IS NULL OR round(1e0 - p1, 6) <= qm FROM t),
+s AS (SELECT 'vanilla' AS method, n_projects, part, source, y, qv IS NULL OR p1 <= qv AS has0, qv IS NULL OR 1e0 - p1 <= qv AS has1 FROM t
+  UNION ALL SELECT 'mondrian', n_projects, part, source, y, qm IS NULL OR p1 <= qm, qm IS NULL OR 1e0 - p1 <= qm FROM t),
 detail AS (SELECT method, 'GB' AS model, n_projects, CASE WHEN grouping(part) = 1 THEN -1 ELSE part END AS cluster,
    avg({_HIT}) AS coverage, avg({_WID}) AS width FROM s WHERE source = 'real'
    GROUP BY GROUPING SETS ((method, n_projects, part), (method, n_projects)))"""

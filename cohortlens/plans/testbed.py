@@ -159,7 +159,7 @@ ranked AS (
 split AS (
   SELECT * EXCLUDE (r, m), CASE WHEN r * 100 <= m * 60 THEN 'train'
          WHEN r * 100 <= m * 80 THEN 'cal' ELSE 'test' END AS split,
-         round(1e0 - p1, 6) AS s1, round(p1, 6) AS s0 FROM ranked),
+         1e0 - p1 AS s1, p1 AS s0 FROM ranked),
 cal AS (SELECT *, CASE WHEN y = 1 THEN s1 ELSE s0 END AS score FROM split WHERE split = 'cal'),
 test AS (SELECT * FROM split WHERE split = 'test'),
 qall AS (SELECT min(score) FILTER (WHERE rn >= ceil(round((n + 1) * 0.9e0, 9))) AS q, max(n) AS n_cal
