@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -17,12 +19,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-#: Bytes of text that a task works on at once.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a task works on at once, and of rows that a task is sent at once.
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application."""
+    """Send this package's modules to the executors, once per application.
+
+    Rows go to the tasks in batches of bounded bytes: by number alone, some thousand very long
+    texts would stand in memory at once, on both sides.
+    """
+    _bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_cohortlens_shipped", False):
         return
@@ -35,6 +42,13 @@ def ship(spark: SparkSession) -> None:
     context._cohortlens_shipped = True
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = (spark.conf.get(key, None) or "-1").removesuffix("b")
+    if given.lstrip("-").isdigit() and not 0 < int(given) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` cut into runs of rows with about ``max_bytes`` of text, one row at least."""
     if batch.num_rows == 0:
@@ -46,6 +60,27 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = SLICE_BYTES) -> It
         yield batch.slice(start, end - start)
 
 
+def hand_back() -> None:
+    """Give memory that is no longer used back to the system. Workers live on between tasks, and
+    what they keep adds up over the stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its memory
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a task that hands its memory back at its end."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        hand_back()
+
+    return task
+
+
 def append_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
@@ -74,7 +109,7 @@ def append_columns(
                 yield pa.RecordBatch.from_arrays(kept + fn(texts), names=names)
 
     ship(df.sparkSession)
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(released(run), schema)
 
 
 class Words(NamedTuple):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
 from cohortlens.llm.arrow import append_columns, list_array, mixed, string_hashes
-from cohortlens.llm.units import UnitEncoder, load
+from cohortlens.llm.units import UnitEncoder
 
 #: Bits of the rolling hash that must be zero at a cut: chunks of about 2**10 bytes.
 CUT_BITS = 10
@@ -31,7 +31,7 @@ WINDOW = 16
 #: Chunks a task remembers before it starts with an empty memo again.
 MEMO_CHUNKS = 8192
 #: Units it remembers beside them: fewer than where there are no chunks.
-MEMO_UNITS = 250_000
+MEMO_UNITS = 150_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -217,10 +217,9 @@ def encode(
 
     def make():
         encoder = ChunkEncoder(tokenizer)
-        decoder = load(tokenizer)
 
         def run(texts: pa.Array) -> list[pa.Array]:
-            return finish(decoder, encoder.encode(pc.cast(texts, pa.string())))
+            return finish(encoder.units.tokenizer, encoder.encode(pc.cast(texts, pa.string())))
 
         return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from cohortlens.llm.arrow import append_columns, bucket_of, list_array, ship, slices
+from cohortlens.llm.arrow import append_columns, bucket_of, hand_back, list_array, released, ship, slices
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import band_hashes, fast_sketches, set_key, shingle_sets
 from cohortlens.session import durable
@@ -90,7 +90,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ship(pairs.sparkSession)
-    return pairs.mapInArrow(run, "u binary, v binary")
+    return pairs.mapInArrow(released(run), "u binary, v binary")
 
 
 def _private_blocks(targets: int):
@@ -99,7 +99,7 @@ def _private_blocks(targets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 sets = shingle_sets(part.column("text"))
                 keys = np.frombuffer(b"".join(part.column("key").to_pylist()), np.uint8).reshape(-1, 16)
                 owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -137,7 +137,10 @@ def _private_sums(table: pa.Table) -> pa.Table:
     alone = np.concatenate(owners)[first[counts == 1]]
     sums = np.bincount(alone[alone >= 0], minlength=len(keys))
     some = np.flatnonzero(sums)
-    return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "private": pa.array(sums[some], pa.int64())})
+    out = pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "private": pa.array(sums[some], pa.int64())})
+    del hashes, owners, keys, alone, sums, first, counts
+    hand_back()
+    return out
 
 
 def private_counts(texts: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def private_counts(texts: DataFrame) -> DataFrame:
     ship(spark)
     targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = texts.select("key", "text").mapInArrow(
-        _private_blocks(targets), "target int, hashes binary, owners binary, keys binary"
+        released(_private_blocks(targets)), "target int, hashes binary, owners binary, keys binary"
     )
     sums = blocks.groupBy("target").applyInArrow(_private_sums, "key binary, private long")
     return sums.groupBy("key").agg(F.sum("private").alias("private"))

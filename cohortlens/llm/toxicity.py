@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from cohortlens.llm.arrow import append_columns, coded, list_array, ship, slices
+from cohortlens.llm.arrow import append_columns, coded, list_array, released, ship, slices
 from cohortlens.llm.units import summed
 from cohortlens.session import durable
 
@@ -175,7 +175,7 @@ def learn_lexicon(texts: DataFrame, text: str = "text", entries: int = LEXICON_E
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:
         return {}
-    found = texts.select(text, "label").mapInArrow(run, "entry string, toxic long, clean long")
+    found = texts.select(text, "label").mapInArrow(released(run), "entry string, toxic long, clean long")
     found = found.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     found = found.where(F.col("toxic") >= ENTRY_TEXTS).withColumn("odds", odds)
