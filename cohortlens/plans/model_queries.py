@@ -73,6 +73,23 @@ def calibration_targets(spark, sf_dir):
     return horizon.smoothed_targets(rows).drop("y")
 
 
+_CELLS = ["cents", "k_sum", *TESTS]
+
+
+@query(
+    f"""WITH {SQL_DENSE}, c AS (SELECT entity, step_idx, unnest([{', '.join(f"CAST({c} AS DOUBLE)" for c in _CELLS)}]) AS value,
+      unnest(range(0, {len(_CELLS)})) AS cell FROM dense)
+    SELECT entity, n.i AS n, CAST(step_idx * {len(_CELLS)} + cell AS BIGINT) AS position, value
+    FROM c JOIN (SELECT unnest(range(1, (SELECT n + 1 FROM n_steps))) AS i) n ON n.i > step_idx WHERE value <> 0"""
+)
+def feature_matrix(spark, sf_dir):
+    """What the classifier of each horizon sees of an entity: place and value of its cells."""
+    rows, n_steps = dense(spark, sf_dir, tuple(_CELLS))
+    numbers = rows.select("entity", "step_idx", *[F.col(c).cast("double").alias(c) for c in _CELLS])
+    people = durable(horizon.profiles(numbers, ["entity"], _CELLS))
+    return horizon.feature_matrix(people, "entity", list(range(1, n_steps + 1)), len(_CELLS))
+
+
 @query()
 def pca_step_embedding(spark, sf_dir):
     """Three coordinates of the test results at each step."""
