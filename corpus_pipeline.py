@@ -36,7 +36,11 @@ NEAR_PERCENT, NEAR_BANDS = 80, 25
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity is below 0.5."""
+    """Documents whose calibrated toxicity is below 0.5.
+
+    Null and empty texts are scored as empty ones, and stay unless labels say that those are toxic;
+    equal rows are all kept or all dropped; an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(packed(docs), labels, ["row", "text"])
     return unpacked(scored.where("score < 0.5"), docs)
@@ -69,14 +73,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null and empty texts have no passage and stay; equal rows are all kept or all dropped; without
+    items everything stays; an empty table gives an empty one.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     scanned = decontaminate.scan(packed(docs), items, ["row", "text"])
     return unpacked(scanned.where(F.size("hits") == 0), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's ids, and digest of the text decoded from them."""
+    """Number and digest of each document's ids, and digest of the text decoded from them.
+
+    A null text is an empty one, without ids; each row gives one row, also a repeated one or one
+    without doc_id; an empty table gives an empty one.
+    """
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_chunks.encode(docs, path, ["doc_id"], finish=id_digests, fields=ID_DIGESTS)
 
