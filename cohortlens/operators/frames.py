@@ -201,6 +201,42 @@ def select_success(long: DataFrame, unit: str) -> DataFrame:
     return long.where(name.rlike(names.success_pattern(unit)))
 
 
+#: What names a column of the wide table.
+COLUMN = ["unit", "step", "metric"]
+
+
+def column_places(long: DataFrame) -> DataFrame:
+    """``(unit, step, metric, pos)``: the columns of a selection in the order of the wide table.
+    They are a schema, so one row may hold them all."""
+    listed = long.groupBy(*COLUMN).agg(F.min("step_idx").alias("i"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", *COLUMN)))
+    spread = listed.agg(ordered.alias("c")).select(F.posexplode("c").alias("pos", "c"))
+    return spread.select(*[F.col(f"c.{c}").alias(c) for c in COLUMN], "pos")
+
+
+def assemble(long: DataFrame, places: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One array ``name`` per key with the values at the places of their columns, 0 elsewhere.
+
+    Columns that have no place are left out, of repeated cells the largest value counts. The
+    rows move once, by key; the places go to them.
+    """
+    width = places.agg(F.count("*").alias("_width"))
+    cells = joined(long, small_side(places), COLUMN).repartition(*keys)
+    single = cells.groupBy(*keys, "pos").agg(F.max("value").cast("double").alias("value"))
+    packed = single.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("_cells"))
+    every = F.sequence(F.lit(0), F.col("_width").cast("int") - 1)
+    value = F.transform(every, lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit(0.0)))
+    return with_row(packed, width).select(*keys, value.alias(name))
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``rows`` with the array ``name`` of their key; zeros where a key has none."""
+    width = vectors.agg(F.coalesce(F.max(F.size(name)), F.lit(0)).alias("_width"))
+    found = with_row(joined(rows, vectors, keys, "left"), width)
+    zeros = F.array_repeat(F.lit(0.0), F.col("_width"))
+    return found.withColumn(name, F.coalesce(F.col(name), zeros)).drop("_width")
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """``df``, or an error if it has no row."""
     if df.isEmpty():

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import clusters, horizon, projection, sequential, split
-from cohortlens.plans import evaluation, production, scoring
+from cohortlens.operators import clusters, frames, horizon, projection, sequential, split
+from cohortlens.plans import evaluation, loading, production, scoring
 from cohortlens.plans.registry import query
-from cohortlens.plans.testbed import ALPHA, SQL_CELLS, SQL_DENSE, TESTS, axis, cells, dense, table
+from cohortlens.plans.testbed import (
+    ALPHA, POOL, SQL_CELLS, SQL_DENSE, SQL_NAMED, TESTS, axis, cells, dense, named_traces, table,
+)
 from cohortlens.session import durable
 
 #: A full run.
@@ -24,10 +26,18 @@ def cohort_of(spark, sf_dir, parts=None) -> production.Cohort:
     if key not in _COHORTS:
         origin, n_steps = axis(spark, sf_dir)
         rows = cells(spark, sf_dir, origin)
-        _COHORTS[key] = production.prepare(production.normalise(rows), n_steps, ["k_sum"], TESTS, FULL, parts)
+        named = frames.normalise_marks(named_traces(spark, sf_dir))
+        pool = loading.pool_vectors(named, POOL, F.col("entity"))
+        _COHORTS[key] = production.prepare(
+            production.normalise(rows), n_steps, ["k_sum"], TESTS, FULL, parts, durable(pool)
+        )
     return _COHORTS[key]
 
 
+def success_of(spark, sf_dir):
+    return durable(loading.success_vectors(named_traces(spark, sf_dir), POOL, F.col("entity")))
+
+
 def horizons(cohort: production.Cohort) -> list[int]:
     return list(range(1, cohort.n_steps + 1))
 
@@ -90,6 +100,33 @@ def feature_matrix(spark, sf_dir):
     return horizon.feature_matrix(people, "entity", list(range(1, n_steps + 1)), len(_CELLS))
 
 
+_ASSEMBLED = f"""WITH {SQL_NAMED}, sel AS (SELECT *, unit || '_' || step || '_' || metric AS name FROM named),
+    kept AS (SELECT entity || '|' || grp AS entity, unit, step, metric, step_idx, {{value}} AS value FROM sel WHERE {{cond}}),
+    cols AS (SELECT unit, step, metric, row_number() OVER (ORDER BY min(step_idx), unit, step, metric) - 1 AS position
+      FROM kept GROUP BY unit, step, metric)
+    SELECT e.entity, c.position, coalesce(k.value, 0e0) AS value FROM (SELECT DISTINCT entity FROM kept) e
+    CROSS JOIN cols c LEFT JOIN kept k ON k.entity = e.entity AND k.unit = c.unit AND k.step = c.step AND k.metric = c.metric"""
+
+
+@query(_ASSEMBLED.format(
+    value="value", cond=rf"name LIKE '{POOL}%' AND NOT regexp_matches(name, '^{POOL}_cpoolday\d+_\d{{2}} - task\d+_passed')"
+))
+def pool_features(spark, sf_dir):
+    """What entities are clustered by, place by place."""
+    out = loading.pool_vectors(named_traces(spark, sf_dir), POOL)
+    return out.select("entity", F.posexplode("pool").alias("position", "value"))
+
+
+@query(_ASSEMBLED.format(
+    value="CASE WHEN coalesce(value, 0) <> 0 THEN 1e0 ELSE 0e0 END",
+    cond=rf"regexp_matches(name, '^{POOL}_cpoolday\d+_\d+\s+-\s+Success of task\d+_passed$', 'i')",
+))
+def success_features(spark, sf_dir):
+    """What the map of the entities is drawn from, place by place."""
+    out = loading.success_vectors(named_traces(spark, sf_dir), POOL)
+    return out.select("entity", F.posexplode("bits").alias("position", "value"))
+
+
 @query()
 def pca_step_embedding(spark, sf_dir):
     """Three coordinates of the test results at each step."""
@@ -204,7 +241,7 @@ def score_and_project(spark, sf_dir):
     """Predictions per horizon, coordinates and clusters of every entity."""
     cohort = cohort_of(spark, sf_dir)
     fits = production.fit_conformal(cohort.people, horizons(cohort), cohort.width, FULL)
-    out = scoring.score_and_project(cohort, fits, cohort.n_steps, 0.1)
+    out = scoring.score_and_project(cohort, fits, cohort.n_steps, 0.1, success=success_of(spark, sf_dir))
     return out.drop("source")
 
 

@@ -17,6 +17,11 @@ from cohortlens.session import durable
 # The event types, which play the part of the tests of a step.
 TESTS = ["click", "error", "purchase", "signup", "view"]
 N_GROUPS = 4
+POOL = "B-CPE-100"
+POOL_DAYS = 13
+POOL_NAMES = {
+    f"{t}_passed": f"{i:02d} - {'task' if i < 2 else 'Success of task'}{i:02d}_passed" for i, t in enumerate(TESTS)
+}
 STEPS_PER_UNIT = 7
 ALPHA = 0.1
 #: Interval threshold of the document rows.
@@ -82,6 +87,21 @@ def long_table(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFr
     return rows.unpivot(ids, metrics, "metric", "value")
 
 
+def named_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long table under the names of result files: the first days are the pool's, the first
+    tests its raw task results, the others their ``Success of`` results."""
+    days = F.col("step_idx") < POOL_DAYS
+    day = F.lpad((F.col("step_idx") + 1).cast("string"), 2, "0")
+    metric = F.col("metric")
+    for plain, name in POOL_NAMES.items():
+        metric = F.when(F.col("metric") == plain, F.lit(name)).otherwise(metric)
+    return long_table(spark, sf_dir, reused=True).withColumns({
+        "unit": F.when(days, F.lit(POOL)).otherwise(F.col("unit")),
+        "step": F.when(days, F.concat(F.lit("cpoolday"), day)).otherwise(F.col("step")),
+        "metric": metric,
+    })
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a probability and an interval that any engine can compute."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -147,6 +167,13 @@ SQL_LONG = SQL_CELLS + ",\nlong AS (" + "\n  UNION ALL ".join(
     for m, c in [("mark", "mark"), *[(f"{t}_passed", t) for t in TESTS], ("styleInfo", "k_sum")]
 ) + ")"
 
+_renamed = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in POOL_NAMES.items())
+SQL_NAMED = SQL_LONG + f""",
+named AS (SELECT entity, grp, step_idx, value,
+    CASE WHEN step_idx < {POOL_DAYS} THEN '{POOL}' ELSE unit END AS unit,
+    CASE WHEN step_idx < {POOL_DAYS} THEN 'cpoolday' || lpad(CAST(step_idx + 1 AS VARCHAR), 2, '0') ELSE step END AS step,
+    CASE metric {_renamed} ELSE metric END AS metric FROM long)"""
+
 SQL_DOCS = """docs AS (
   SELECT d.doc_id, d.lang, CAST(l.quality AS INTEGER) AS y,
     round(CAST(n_chars AS DOUBLE) * 0.96e0 / (CAST(n_chars AS DOUBLE) + 600e0) + 0.02e0, 6) AS p1,

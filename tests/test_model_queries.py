@@ -25,6 +25,7 @@ def asked(monkeypatch):
     monkeypatch.setattr(model_queries, "cohort_of", lambda *a: cohort)
     for name in ("next_mark_bounds", "last_mark_rows", "fit_conformal", "fit_gates", "evaluate_conformal", "replay"):
         note(production, name)
+    note(model_queries, "success_of", "success columns")
     note(production, "with_next_marks", cohort)
     note(production, "fit_last_mark", {n: None for n in range(11, STEPS)})
     note(model_queries.scoring, "score_and_project", SimpleNamespace(drop=lambda c: None))
@@ -46,7 +47,7 @@ def test_all_horizons(asked, name):
                 assert given == production.Settings()
     if name == "score_and_project":
         args, kwargs = asked[name]
-        assert args[2] == STEPS and not kwargs
+        assert args[2] == STEPS and kwargs == {"success": "success columns"}
 
 
 def test_bounds_and_evaluator(asked):
