@@ -197,8 +197,56 @@ def test_stream(spark, folder, tmp_path):
     now = landing.current(spark, log).where("metric = 'mark'")
     assert now.count() == n
     assert now.where("entity = 's1@x' AND step = 'beta'").first().value == 7.5
-    landing.compact(spark, log, str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).where("metric = 'mark'").count() == n
+    rows = sorted(map(tuple, landing.current(spark, log).collect()), key=str)
+    table = str(tmp_path / "table")
+    landing.compact(spark, log, table)
+    assert sorted(map(tuple, landing.merged(spark, table).collect()), key=str) == rows
+
+
+def records(target):
+    return {str(p.relative_to(target)) for p in (target / "records").rglob("*.parquet")}
+
+
+def test_compact_rewrites_what_changed(spark, tmp_path):
+    log, table = str(tmp_path / "log"), tmp_path / "table"
+
+    def batch(number, rows):
+        schema = """entity string, grp string, unit string, step string, landed long, path string, result_pos int,
+            member_pos int, cells array<struct<metric: string, value: double>>"""
+        made = [(e, g, u, s, at, "p", 0, 0, [("mark", v)]) for e, g, u, s, at, v in rows]
+        spark.createDataFrame(made, schema).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    def seen():
+        return {(r.entity, r.grp, r.unit, r.step): r.value for r in landing.merged(spark, str(table)).collect()}
+
+    with pytest.raises(FileNotFoundError):
+        landing.merged(spark, str(table))
+    assert landing.compact(spark, log, str(table)) == []
+    batch(0, [("a", "g", "U", "1", 1, 1.0), ("b", None, "U", "2", 1, 2.0), ("c", "g", None, "42", 1, 3.0)])
+    assert len(landing.compact(spark, log, str(table))) == 3
+    first = records(table)
+    state = {("a", "g", "U", "1"): 1.0, ("b", None, "U", "2"): 2.0, ("c", "g", None, "42"): 3.0}
+    assert seen() == state and landing.compact(spark, log, str(table)) == [] and records(table) == first
+    # one partition changes: its rows of old are kept, an older record loses, nothing else is written
+    batch(1, [("a", "g", "U", "1", 0, 9.0), ("d", "g", "U", "1", 2, 4.0)])
+    assert landing.compact(spark, log, str(table)) == [("U", "1")]
+    state |= {("d", "g", "U", "1"): 4.0}
+    assert seen() == state
+    added = records(table) - first
+    assert added and all("unit=U/step=1/" in p for p in added) and first <= records(table)
+    assert not (tmp_path / "log" / "batch=0").exists() and not (tmp_path / "log" / "batch=1").exists()
+    # a batch without its mark waits; a generation without a manifest counts for nothing
+    batch(2, [("b", None, "U", "2", 3, 8.0)])
+    (tmp_path / "log" / "batch=2" / "_SUCCESS").unlink()
+    assert landing.compact(spark, log, str(table)) == [] and seen() == state
+    (tmp_path / "log" / "batch=2" / "_SUCCESS").touch()
+    (table / "records" / "gen=3" / "unit=U" / "step=2").mkdir(parents=True)
+    landing.compact(spark, log, str(table))
+    assert seen() == state | {("b", None, "U", "2"): 8.0}
+    assert {r.entity for r in landing.merged(spark, str(table), ["U"]).collect()} == {"a", "b", "d"}
+    # a batch that runs again after it was merged changes nothing
+    batch(1, [("a", "g", "U", "1", 0, 9.0), ("d", "g", "U", "1", 2, 4.0)])
+    assert landing.compact(spark, log, str(table)) == [] and not (tmp_path / "log" / "batch=1").exists()
 
 
 def test_zero_fill(spark):
