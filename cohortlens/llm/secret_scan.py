@@ -3,11 +3,12 @@
 Beside three fixed patterns, a long string near a sensitive word is measured by what it adds
 to the zstandard frame of the text around it, with a compressor that a dictionary of code
 identifiers has primed. A string that neither its surroundings nor the dictionary explains
-adds nearly its own length, and is reported.
+adds nearly its own length, and is reported if its letters can carry that much at all.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -31,16 +32,23 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: A run of the hex pattern that is long enough is found by its length at once.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Strings that are measured, words that make a place sensitive, and how far they reach.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Strings that are measured, each part of ``name=value`` on its own (a value keeps the ``=`` at
+#: its end), words that make a place sensitive, and how far they reach to either side.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:=+(?![A-Za-z0-9+/_.=-]))?")
 SENSITIVE = re.compile(
     r"key|secret|token|passw|passphrase|pwd|auth|bearer|credential|private|signature|session|cookie|login", re.I | re.A
 )
 REACH = 48
 #: Characters of text on either side that the frame holds.
 AROUND = 256
+#: Of the levels tried (3, 9, 15, 19) the one that finds the dictionary's words in joined names.
+LEVEL = 9
 #: Added bytes per byte of the string from which on it counts as new.
 NOVELTY = 0.7
+#: Bytes per character that the kinds of characters in a string must be able to carry. Digits
+#: alone carry 0.42 and letters of one case 0.59: numbers and plain words, however rare.
+CAPACITY = 0.6
+_CLASSES = [(re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26)]
 
 IDENTIFIERS = " ".join("""
 abstract access account action address admin algorithm append application argument array assert async
@@ -65,8 +73,17 @@ subject submit suffix super switch symbol system table target task template test
 timestamp title token total trace transaction transform true type undefined union unique unit update upload
 url user username utils valid validate value variable vector version view void volatile width window
 worker write writer xml yaml
+/usr/lib/python3/site-packages/ /usr/local/share/ /usr/bin/ /home/user/ /var/log/ /etc/ /opt/ /tmp/ node_modules/
+src/main/java/ dist/index .html .json .yaml .txt .csv .log http://www. https://api. mail.example.com example.org example.net
 """.split()).encode()
 
+
+def capacity(string: str) -> float:
+    """Bytes per character that random characters of the kinds in the string would carry. A
+    capital at the start is that of a word."""
+    size = sum(n for pattern, n in _CLASSES if pattern.search(string, 1))
+    return math.log2(size) / 8 if size else 0.0
+
 _ANY = (
     r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_=.\-]{16}"
 )
@@ -82,7 +99,7 @@ class Scanner:
 
     def __init__(self, dictionary: bytes = IDENTIFIERS, novelty: float = NOVELTY):
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False)
         self.least = novelty
 
     def novelty(self, before: str, string: str, after: str) -> float:
@@ -99,15 +116,13 @@ class Scanner:
         base = list(out)
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
-            string = m[0]
             if any(a < end and start < b for a, _, b, _ in base):
                 continue
-            if not re.search("[0-9]", string) or not re.search("[A-Za-z]", string):
-                continue
-            if not SENSITIVE.search(text, max(0, start - REACH), start):
+            before, after = max(0, start - REACH), min(len(text), end + REACH)
+            if not SENSITIVE.search(text, before, start) and not SENSITIVE.search(text, end, after):
                 continue
-            score = self.novelty(text[max(0, start - AROUND) : start], string, text[end : end + AROUND])
-            if score >= self.least:
+            score = self.novelty(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
+            if score >= self.least and capacity(m[0]) >= CAPACITY:
                 out.append((start, 3, end, score))
         return sorted(out)
 
@@ -118,7 +133,9 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", dictionary: bytes
     strings found by compression, the bytes they add per byte.
 
     Spans are in order of start, then of kind. Matches of a kind don't overlap; those of
-    different kinds may, but a string that overlaps a pattern's span isn't measured. A null
+    different kinds may, but a string that overlaps a pattern's span isn't measured. Every other
+    string with a sensitive word before or behind it, in reach, is; what is new is reported if its
+    kinds of characters can carry as much (``CAPACITY``). A null
     or empty text has no spans; an empty table gives an empty one; repeated rows are scanned
     alike; an input column named ``spans`` is replaced.
     """

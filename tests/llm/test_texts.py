@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import kneser_ney, secret_scan, toxicity, warc
+from cohortlens.llm.queries import QUERIES
 from cohortlens.session import shared_folder
 from tests.llm import brute
 
@@ -42,6 +43,62 @@ def test_base_spans_and_novelty(spark, odd_texts):
     assert secret_scan.scan(df.limit(0), ["doc_id"]).count() == 0
 
 
+KEY = "Zx9Qw7Lp3Vt8Rk2Mn5Bj4Hs1"
+
+
+@pytest.mark.parametrize("text, found", [
+    (f"AWS_SECRET_KEY={KEY}", KEY), (f"export PRIVATE_KEY={KEY}", KEY), (f"client_auth={KEY}==", KEY + "=="),
+    (f"https://a.b/c?session_id={KEY}&x=1", KEY), ("bearer ZxQwLpVtRkMnBjHsaFgTyUiO", "ZxQwLpVtRkMnBjHsaFgTyUiO"),
+    (f"{KEY} # api token", KEY), ("session at /usr/lib/python3.13/site-packages/numpy", None),
+    ("login 4913615156729033", None), ("login with mail7.example.com", None), (f"{KEY} and no more", None),
+    ("key to Donaudampfschifffahrtsgesellschaft", None), ("the private_key_identifier of a session", None),
+    ("", None), ("=" * 40 + " key", None), ("token " + "a" * 40, None),
+])
+def test_strings_by_novelty(text, found):
+    got = [text[a:b] for a, kind, b, _ in secret_scan.Scanner().spans(text) if kind == 3]
+    assert got == ([found] if found else [])
+
+
+def test_planted_strings():
+    """250 new strings and 250 that are not, all near sensitive words."""
+    rng = random.Random(17)
+    words = secret_scan.IDENTIFIERS.decode().split()
+    letters = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base36": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    places = ["CLIENT_AUTH={}", "bearer {}", "{} # login key", "cookie: sid={};", "private = '{}'", "signature is {} here"]
+    decoys = [
+        lambda: "/usr/local/share/" + "/".join(rng.sample(words[:180], 3)), lambda: "_".join(rng.sample(words[:180], 4)),
+        lambda: "".join(w.capitalize() for w in rng.sample([w for w in words[:180] if len(w) > 5], 3)),
+        lambda: str(rng.randrange(10**15, 10**16)), lambda: "https.mail.example.com" + str(rng.randrange(10)),
+    ]
+
+    def hit(string):
+        text = f"some words {rng.choice(places).format(string)} and more words"
+        return any(k == 3 for _, k, _, _ in secret_scan.Scanner().spans(text))
+
+    new = [hit("".join(rng.choices(rng.choice(list(letters.values())), k=rng.randrange(20, 41)))) for _ in range(250)]
+    known = [hit(rng.choice(decoys)()) for _ in range(250)]
+    assert sum(new) >= 240 and sum(known) <= 12
+
+
+def test_query_of_secrets(spark, tmp_path):
+    """The columns of the query by plain Python."""
+    texts = [None, "", *SECRETS, f"client_auth={KEY} token=abcdefgh", "x" * 200_000 + f" key {KEY}"]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, folder).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        every = secret_scan.Scanner().spans(text or "")
+        listed = [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in every]
+        base = ",".join(s for s in listed if not s.startswith("novel"))
+        assert got[i].spans == ",".join(listed)
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        kinds = [s.split(":")[0] for s in listed]
+        assert [got[i][f"n_{k}"] for k in secret_scan.KINDS] == [kinds.count(k) for k in secret_scan.KINDS]
+    assert got[len(texts) - 1].n_novel == 1 == got[len(texts) - 2].n_novel
+
+
 def test_known_strings_add_little():
     scanner = secret_scan.Scanner()
     new = "Zx9Qw7Lp3Vt8Rk2Mn5Bj4Hs1"
