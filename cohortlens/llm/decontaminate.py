@@ -25,6 +25,8 @@ from cohortlens.llm.arrow import Words, append_columns, coded, list_array
 WINDOW_WORDS = 10
 #: Windows in one automaton (about half a kilobyte each); more make a further pass.
 BLOCK_WINDOWS = 200_000
+#: Distinct words in one automaton: each is a character, and there are 1,112,063 to be had.
+BLOCK_WORDS = 1_000_000
 
 #: Characters of words are all but these, after A-Z are in lower case.
 _SPLIT = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -55,15 +57,24 @@ def windows(words: list[str], size: int = WINDOW_WORDS) -> list[tuple[str, ...]]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def window_blocks(items: DataFrame, id_col: str, text: str, limit: int) -> Iterator[dict]:
-    """Window -> its items, at most ``limit`` windows at a time; items arrive one by one."""
+def window_blocks(
+    items: DataFrame, id_col: str, text: str, limit: int, max_words: int = BLOCK_WORDS
+) -> Iterator[dict]:
+    """Window -> its items, at most ``limit`` windows of ``max_words`` different words (or a single
+    window) at a time; items arrive one by one."""
     block: dict[tuple[str, ...], set] = {}
+    known: set[str] = set()
     for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).toLocalIterator():
         for window in windows(item_words(row.t)):
-            block.setdefault(window, set()).add(row.i)
-            if len(block) >= limit:
+            if window in block:
+                block[window].add(row.i)
+                continue
+            more = sum(w not in known for w in set(window))
+            if block and (len(block) >= limit or len(known) + more > max_words):
                 yield block
-                block = {}
+                block, known = {}, set()
+            block[window] = {row.i}
+            known.update(window)
     if block:
         yield block
 
@@ -163,7 +174,8 @@ def scan(
     marks words but isn't listed. A null or empty text has no words; items with equal windows
     are all listed; without items nothing is hit; an empty table gives an empty one; input
     columns with the names of new ones are replaced. The items are the small side: they are
-    sent to the tasks in blocks of ``block_windows`` windows, and more blocks are more passes.
+    sent to the tasks in blocks of ``block_windows`` windows and ``BLOCK_WORDS`` different words
+    at most, and more blocks are more passes.
     """
     blocks = [
         {w: list(i) for w, i in b.items()} for b in window_blocks(items, item_id, item_text, block_windows)

@@ -160,3 +160,21 @@ def test_queries_on_the_smallest_tables(spark):
     got = {r.doc_id: r for r in QUERIES["op4_minhash_near_dedup"](spark, folder).collect()}
     for i, r in enumerate(rows):
         assert (got[r.doc_id].n_shingles, got[r.doc_id].component_id) == (sizes[i], rows[roots[i]].doc_id)
+
+
+def test_more_words_than_symbols(spark):
+    """1.3 million different words: more than one automaton has characters for."""
+    n = 130_000
+    word = [F.concat(F.lit("w"), (F.col("id") * 10 + i).cast("string")) for i in range(10)]
+    items = spark.range(0, n, 1, 8).select(F.col("id").alias("item_id"), F.concat_ws(" ", *word).alias("text"))
+    blocks = list(decontaminate.window_blocks(items, "item_id", "text", decontaminate.BLOCK_WINDOWS))
+    assert [len(b) for b in blocks] == [100_000, 30_000] and sum(len(b) for b in blocks) == n
+    ends = (0, 99_999, 100_000, n - 1)
+    texts = [" ".join(f"W{i * 10 + j}" for j in range(10)) for i in ends] + ["w1 w0"]
+    scanners = [decontaminate.Scanner(b) for b in blocks]
+    words = decontaminate.doc_words(pa.array(texts))
+    found = sorted((first, size, *ids) for s in scanners for first, size, ids in s.found(words))
+    assert found == [(10 * k, 10, i) for k, i in enumerate(ends)]
+    # a block holds one window at least, also of more words than it may have
+    again = list(decontaminate.window_blocks(items.limit(5).union(items.limit(5)), "item_id", "text", 9, 4))
+    assert [len(b) for b in again] == [1] * 10
