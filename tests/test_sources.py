@@ -145,6 +145,34 @@ def test_csv_sites(spark, tmp_path):
     assert (names, n, head.count()) == (["email", "x"], 2, 2)
 
 
+def test_csv_sites_by_header(spark, tmp_path):
+    """50 files with three headers are three scans, and one job that looks at the headers."""
+    heads = ["email,x", 'email,"a, b",x', "email,city,y"]
+    rows = ["s{0},{0}", "s{0},True,{0}", "s{0},,nan"]
+    paths = []
+    for i in range(50):
+        path = tmp_path / f"U_p q+é_C{i}-1.csv"
+        path.write_text("".join(f"{line}\n" for line in [heads[i % 3], rows[i % 3].format(i), rows[i % 3].format(i)]))
+        paths.append(str(path))
+    (tmp_path / "U_p_EMPTY-1.csv").write_text("")
+    assert [(c, len(f)) for c, f in tables.headers(spark, paths)] == [
+        (["email", "x"], 17), (["email", "a, b", "x"], 17), (["email", "city", "y"], 16),
+    ]
+    out = tables.read_sites(spark, [*paths, str(tmp_path / "U_p_EMPTY-1.csv")])
+    assert out.columns == ["email", "city", "x", "a, b", "y"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 3
+    got = sorted(tuple(r) for r in out.fillna(-1.0).collect())
+    assert got == sorted(
+        (f"s{i}", f"C{i}", -1.0 if i % 3 == 2 else float(i), 1.0 if i % 3 == 1 else -1.0, -1.0) for i in range(50) for _ in "ab"
+    )
+    bad = tmp_path / "U_p_BAD-1.csv"
+    bad.write_text("email,x\ns,many\n")
+    with pytest.raises(Exception, match="no number in column x: many"):
+        tables.read_sites(spark, [str(bad)]).collect()
+    with pytest.raises(ValueError):
+        tables.read_sites(spark, [str(tmp_path / "U_p_EMPTY-1.csv")])
+
+
 def test_artefacts(spark):
     want = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     have = spark.createDataFrame([("a", 1)], "k string, n int")
