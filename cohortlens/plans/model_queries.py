@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import clusters, frames, horizon, projection, sequential, split
+from cohortlens.operators import clusters, frames, horizon, projection, sequential, spectral, split
 from cohortlens.plans import evaluation, loading, production, scoring
 from cohortlens.plans.registry import query
 from cohortlens.plans.testbed import (
@@ -135,6 +135,45 @@ def pca_step_embedding(spark, sf_dir):
     return projection.step_embedding(marked, "tests", len(TESTS)).drop("tests")
 
 
+_NEAR = 6
+_SQL_PATTERN = " || ".join(f"CASE WHEN {t} > 0 THEN '1' ELSE '0' END" for t in TESTS)
+
+
+def marked_steps(spark, sf_dir):
+    """Test results of every entity and step as bits."""
+    rows, _ = dense(spark, sf_dir, tuple(TESTS))
+    bits = F.array(*[frames.to_bit(F.col(t).cast("double")) for t in TESTS])
+    return durable(rows.select("entity", "step_idx", bits.alias("bits")))
+
+
+@query(
+    f"""WITH {SQL_DENSE}, p AS (SELECT DISTINCT step_idx, {_SQL_PATTERN} AS node FROM dense),
+    r AS (SELECT a.step_idx, a.node AS one, o.node AS two,
+      row_number() OVER (PARTITION BY a.step_idx, a.node ORDER BY hamming(a.node, o.node), o.node) AS rank
+      FROM p a JOIN p o ON o.step_idx = a.step_idx AND o.node <> a.node),
+    b AS (SELECT step_idx, one AS src, two AS dst FROM r WHERE rank <= {_NEAR}
+      UNION ALL SELECT step_idx, two, one FROM r WHERE rank <= {_NEAR})
+    SELECT CAST(step_idx AS BIGINT) AS step_idx, src, dst, count(*) / 2e0 AS weight FROM b GROUP BY 1, 2, 3"""
+)
+def neighbour_links(spark, sf_dir):
+    """Links of the patterns of test results of each step, which its layout is made from."""
+    links = spectral.neighbour_graph(marked_steps(spark, sf_dir), "bits", len(TESTS), _NEAR, "step_idx")
+    return links.withColumnRenamed("group", "step_idx")
+
+
+@query()
+def spectral_steps(spark, sf_dir):
+    """Three coordinates of the test results at each step, by the graph of its patterns."""
+    marked = marked_steps(spark, sf_dir)
+    return spectral.spectral_layout(marked, "bits", len(TESTS), 3, _NEAR, "step_idx").drop("bits")
+
+
+@query()
+def spectral_map(spark, sf_dir):
+    """Two coordinates and the cluster of each entity by its success results."""
+    return spectral.lay_out_and_cluster(success_of(spark, sf_dir), "bits").drop("bits")
+
+
 @query()
 def horizon_classifier(spark, sf_dir):
     """Boosted classifiers after the first n steps, every n: conformal coverage and width."""
