@@ -36,6 +36,8 @@ BANDS, ROWS = 18, 4
 CROWD = 16
 #: Classes outside the largest component that a bucket compares with the rest in one round.
 PIVOTS = 2048
+#: Members of a crowded bucket that meet its pivots in one task.
+DEALT = 512
 #: Words of 64 bits in the bitmap of a set. A fuller bitmap rules out less, never too much.
 BITMAP_WORDS = 32
 #: Sets a task remembers while it compares.
@@ -235,18 +237,22 @@ class _Classes:
         rows = self.members.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
         counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(
-            F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")
+            F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"),
+            F.ceil(F.sum("n") / DEALT).cast("int").alias("salts"),
         ).where("parts > 1")
         rows = rows.join(largest, "bucket").join(self.classes.select("key", "bands"), "key").join(self.bitmaps, "key")
-        rows = durable(rows.select("bucket", "key", "n", "private", "root", "largest", "bands", "bitmap"))
+        # the members of a crowded bucket are dealt out, each part meets a copy of its pivots
+        salt = F.pmod(F.xxhash64("key", F.lit(5)), F.col("salts")).cast("int").alias("salt")
+        rows = durable(rows.select("bucket", salt, "salts", "key", "n", "private", "root", "largest", "bands", "bitmap"))
         outside = rows.where("root != largest")
         if used is not None:
             outside = outside.join(used, ["bucket", "key"], "left_anti")
         slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS))
         pivots = outside.groupBy("bucket", slot.alias("slot")).agg(
-            F.min(F.struct("key", "n", "private", "root", "bands", "bitmap")).alias("p")
+            F.min(F.struct("key", "n", "private", "root", "bands", "bitmap")).alias("p"), F.first("salts").alias("salts")
         )
-        pivots = durable(pivots.select("bucket", "p"))
+        chosen = durable(pivots.select("bucket", "salts", "p"))
+        pivots = chosen.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "p")
         fits = possible(self.percent, (rows["n"], rows["private"]), (pivots["p.n"], pivots["p.private"]))
         fits = fits & possible_by_bitmap(
             self.percent, (rows["n"], rows["bitmap"]), (pivots["p.n"], pivots["p.bitmap"])
@@ -254,10 +260,11 @@ class _Classes:
         first = F.array_intersect(rows["bands"], pivots["p.bands"])[0]
         pairs = rows.join(
             pivots,
-            (rows["bucket"] == pivots["bucket"]) & (rows["root"] != pivots["p.root"]) & fits & (first == rows["bucket"]),
+            (rows["bucket"] == pivots["bucket"]) & (rows["salt"] == pivots["salt"])
+            & (rows["root"] != pivots["p.root"]) & fits & (first == rows["bucket"]),
         )
         pairs = pairs.select(F.greatest("key", "p.key").alias("u"), F.least("key", "p.key").alias("v"))
-        return pairs.distinct(), pivots.select("bucket", F.col("p.key").alias("key"))
+        return pairs.distinct(), chosen.select("bucket", F.col("p.key").alias("key"))
 
 
 def near_duplicates(

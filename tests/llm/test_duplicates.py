@@ -29,9 +29,10 @@ def family():
     return out + ["", "two words", "Two  words", "a b c d", None]
 
 
-@pytest.mark.parametrize("pivots, crowd", [(2048, 16), (2, 3)])
-def test_near_components(spark, family, monkeypatch, pivots, crowd):
+@pytest.mark.parametrize("pivots, crowd, dealt", [(2048, 16, 512), (2, 3, 2)])
+def test_near_components(spark, family, monkeypatch, pivots, crowd, dealt):
     monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "DEALT", dealt)
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rows = [(i, t, "x", 9) for i, t in enumerate(family)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string, component_id int").repartition(4)
