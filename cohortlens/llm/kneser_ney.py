@@ -33,9 +33,12 @@ from cohortlens.session import durable, shared_folder
 
 #: Bytes of text that are counted at once.
 COUNT_BYTES = 8 << 20
+#: Bytes of text a bucket of pairs stands for.
+BUCKET_BYTES = 8 << 20
 #: Rows looked at to find words so common that their pairs are dealt out by pair, and the share
-#: of tokens that makes one. This only spreads work; counts are the same whatever it finds.
-HEAVY_ROWS, HEAVY_SHARE = 2_000, 0.002
+#: of tokens that makes one at most and at least; between them it is half a bucket's share. This
+#: only spreads work; counts are the same whatever it finds.
+HEAVY_ROWS, HEAVY_SHARE, LEAST_SHARE = 2_000, 0.002, 0.0001
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _PAIR = np.uint64(0xA24BAED4963EE407)
@@ -333,13 +336,14 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts[:-1]) if len(starts) > 1 else np.zeros(0)
 
 
-def heavy_words(docs: DataFrame, text: str) -> np.ndarray:
+def heavy_words(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
     """Hashes of words that are common in the first rows; they only steer the dealing out."""
+    share = min(HEAVY_SHARE, max(LEAST_SHARE, 0.5 / buckets))
     head = docs.select(text).where(F.length(text) > 0).limit(HEAVY_ROWS)
     words = F.explode(F.split(F.lower(F.substring(text, 1, 2000)), "[\\x20\\x09-\\x0D]+"))
     found = head.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = found.agg(F.sum("n")).first()[0] or 0
-    common = found.where(F.col("n") > HEAVY_SHARE * total).limit(int(1 / HEAVY_SHARE)).collect()
+    common = found.where(F.col("n") > share * total).limit(int(1 / share)).collect()
     hashes = string_hashes(pa.array([r.w for r in common], pa.string()))
     return np.unique(np.append(hashes, BEGIN))
 
@@ -347,14 +351,16 @@ def heavy_words(docs: DataFrame, text: str) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", folder: str | None = None, buckets: int | None = None) -> Model:
     """Count the pairs of all texts of ``docs`` and write the model's arrays to ``folder``.
 
-    ``buckets`` grows with the data: by default twice the number of shuffle partitions. A
-    null text is a text without words; an empty table gives a model that knows nothing.
+    ``buckets`` grows with the data: by default one for each ``BUCKET_BYTES`` of text. A null
+    text is a text without words; an empty table gives a model that knows nothing.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_words(docs, text)
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = -(-size // BUCKET_BYTES) or 1
+    heavy = heavy_words(docs, text, buckets)
     blocks = docs.select(text).mapInArrow(_count(heavy, buckets, text), BLOCK)
     blocks = blocks.groupBy("target").applyInArrow(_merge_pairs(folder, buckets), BLOCK)
     files = durable(blocks.groupBy("target").applyInArrow(_merge_words(folder), FILES)).collect()  # a row per bucket

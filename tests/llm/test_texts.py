@@ -121,6 +121,18 @@ def test_model_by_its_definition(spark, odd_texts, buckets):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(own, rel=1e-9)
 
 
+def test_buckets_follow_the_bytes(spark, odd_texts, monkeypatch):
+    """More buckets and more heavy words give the same scores."""
+    df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string")
+    whole = kneser_ney.fit(df)
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", sum(len((t or "").encode()) for t in odd_texts) // 7)
+    parts = kneser_ney.fit(df)
+    assert whole.buckets == 1 and parts.buckets in (7, 8)
+    one, two = ({r.doc_id: r.score for r in kneser_ney.score(df, m, ["doc_id"]).collect()} for m in (whole, parts))
+    assert one.keys() == two.keys()
+    assert all(one[i] == pytest.approx(two[i], abs=1e-9) for i in one)
+
+
 def test_probabilities_sum_to_one():
     plain = brute.Bigrams(["a b a b c", "b c d", "a a a e", ""])
     for u in ("<s>", "a", "c", "unseen"):
