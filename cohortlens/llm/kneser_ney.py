@@ -337,11 +337,13 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def heavy_words(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
-    """Hashes of words that are common in the first rows; they only steer the dealing out."""
+    """Hashes of words that are common in rows drawn from the whole table; they only steer the
+    dealing out. First rows may all be of one language or source."""
     share = min(HEAVY_SHARE, max(LEAST_SHARE, 0.5 / buckets))
-    head = docs.select(text).where(F.length(text) > 0).limit(HEAVY_ROWS)
-    words = F.explode(F.split(F.lower(F.substring(text, 1, 2000)), "[\\x20\\x09-\\x0D]+"))
-    found = head.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    start = F.substring(text, 1, 2000).alias("start")
+    drawn = docs.where(F.length(text) > 0).select(start).orderBy(F.rand(7)).limit(HEAVY_ROWS)
+    words = F.explode(F.split(F.lower("start"), "[\\x20\\x09-\\x0D]+"))
+    found = drawn.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = found.agg(F.sum("n")).first()[0] or 0
     common = found.where(F.col("n") > share * total).limit(int(1 / share)).collect()
     hashes = string_hashes(pa.array([r.w for r in common], pa.string()))
