@@ -114,12 +114,10 @@ class ChunkEncoder:
         new = [t for t in texts if t not in self.memo]
         if new:
             rows, starts = self.units.unit_rows(pa.array(new, pa.string()))
-            lens = self.units.lens[rows]
-            at = self.units.at[rows]
+            ids, ends = self.units.memo.ids(rows)
+            lens = self.units.memo.lens[rows]
             for text, a, b in zip(new, starts.tolist(), starts[1:].tolist(), strict=False):
-                pool = self.units.pool
-                ids = [pool[s : s + n] for s, n in zip(at[a:b].tolist(), lens[a:b].tolist(), strict=True)]
-                self.memo[text] = Chunk(text, np.concatenate(ids), lens[a:b])
+                self.memo[text] = Chunk(text, ids[ends[a] : ends[b]], lens[a:b])
             self.encoded += len(new)
         found = [self.memo[t] for t in texts]
         return [found[i] for i in coded.indices.to_pylist()]

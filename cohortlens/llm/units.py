@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +21,8 @@ from tokenizers import Tokenizer
 #: Units a worker remembers; above that it starts with an empty memo again.
 #: The same bound holds for parts of units that the model was asked for.
 MEMO_UNITS = 500_000
+#: Units that are learnt at once.
+LEARNT = 50_000
 #: Characters of a piece of a text that is not split into units.
 PIECE_CHARS = 1 << 15
 
@@ -29,11 +33,12 @@ _RE2_SPACE = SPACE.replace(" - ", "\\x{2000}-\\x{200a}")
 _JOINED = f"[{_RE2_SPACE}] (?:[{_RE2_SPACE}]|\\z)"
 #: Letters that the patterns surely take as such, and characters whose class is plain.
 _L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(rf"(?:[{_L}0-9 \n!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{{|}}~]|<(?!\|))*")
+_PLAIN = rf"\A[{_L}0-9 \n!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*\z"
+#: Stands between units that are cut in one go; it is in no plain text.
+_BETWEEN = "\x00"
 #: How the two kinds of pre-tokenizers cut plain text (no apostrophes, nothing else).
-_KEEPS_SPACE = re.compile(rf" ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
-_DROPS_SPACE = re.compile(rf"[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-_WORD = re.compile(rf"( ?[{_L}]+)([.,;:!?|]*)")
+_KEEPS_SPACE = re.compile(rf" ?[{_L}]+|\x00| ?[0-9]+| ?[^\s\x00{_L}0-9]+|\s+(?![^\s\x00])|\s+")
+_DROPS_SPACE = re.compile(rf"[{_L}]+|\x00|[0-9]|[^\s\x00{_L}0-9]+")
 _PROBE = "Ab cd, the (end).\n Éàü 42x7 == a_b|c  d!? [x]:y;<z> ß Ø-9"
 _BREAK = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
@@ -81,55 +86,125 @@ def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones
+def _byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level vocabulary: printable ones
     for themselves, the others in order from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    out = np.arange(256, dtype="<u4")
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
+
+
+class Memo:
+    """Ids of strings, one row each, in one pool; ``lengths_only`` keeps their numbers alone."""
+
+    def __init__(self, lengths_only: bool):
+        self.lengths_only = lengths_only
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.lens = np.zeros(1 << 12, np.int64)
+        self.at = np.zeros(1 << 12, np.int64)
+        self.pool = np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    def add(self, strings: list[str], values: np.ndarray, at: np.ndarray, lens: np.ndarray) -> None:
+        """New strings; string i has the ids ``values[at[i] : at[i] + lens[i]]``."""
+        row = len(self.rows)
+        self.rows.update(zip(strings, range(row, row + len(strings)), strict=True))
+        while len(self.lens) < len(self.rows):
+            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.lens[row : row + len(strings)] = lens
+        if self.lengths_only:
+            return
+        while self.used + len(values) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(values)] = values
+        self.at[row : row + len(strings)] = self.used + at
+        self.used += len(values)
+
+    def find(self, strings: list[str], learn: Callable[[list[str]], None]) -> np.ndarray:
+        """Rows of distinct strings; ``learn`` adds those not yet known."""
+        found = np.fromiter(map(self.rows.get, strings, repeat(-1)), np.int64, len(strings))
+        unknown = np.flatnonzero(found < 0)
+        new = [strings[i] for i in unknown.tolist()]
+        for start in range(0, len(new), LEARNT):
+            learn(new[start : start + LEARNT])
+        found[unknown] = np.fromiter(map(self.rows.__getitem__, new), np.int64, len(new))
+        return found
+
+    def ids(self, rows: np.ndarray) -> Ragged:
+        """Ids of the strings in ``rows``; only their places if lengths alone are kept."""
+        lens = self.lens[rows]
+        starts = np.concatenate([[0], np.cumsum(lens)])
+        values = np.zeros(0, np.uint32) if self.lengths_only else gathered(self.pool, self.at[rows], lens)
+        return Ragged(values, starts)
 
 
 class Pretokens:
     """Ids of plain units by way of the library's model, without its regular expressions.
 
     Plain text (letters of Latin-1, digits, common punctuation, spaces, new lines) is cut as
-    the tokenizer's pattern would, and the model is asked for each distinct part once.
-    ``cut`` gives None for all other units, and for every unit if a probe doesn't come out
-    as the library's.
+    the tokenizer's pattern would, many units at once, and the model is asked for each
+    distinct part once. No unit is plain if a probe doesn't come out as the library's.
     """
 
-    def __init__(self, tokenizer: Tokenizer, drops_space: bool):
+    def __init__(self, tokenizer: Tokenizer, drops_space: bool, lengths_only: bool = False):
         self.model, self.letters = tokenizer.model, _byte_letters()
+        self.letters[0] = 0
         self.lower = drops_space
         self.pattern = _DROPS_SPACE if drops_space else _KEEPS_SPACE
-        self.memo: dict[str, list[int]] = {}
-        self.usable = True
-        alone = tokenizer.encode(_PROBE, add_special_tokens=False).ids
-        self.usable = self.cut(_PROBE) == alone
-
-    def _ask(self, part: str) -> list[int]:
-        coded = part.encode().decode("latin-1").translate(self.letters)
-        ids = self.memo[part] = [t.id for t in self.model.tokenize(coded)]
-        return ids
-
-    def cut(self, unit: str) -> list[int] | None:
+        self.memo = Memo(False)
+        probes = [_PROBE, "", " ", _PROBE + "\n", " " + _PROBE, "\n \n"]
+        alone = [tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
+        values, starts = self.ids(probes)
+        self.usable = [values[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == alone
+        self.memo = Memo(lengths_only)
+
+    def plain(self, units: list[str]) -> np.ndarray:
+        """Which units :meth:`ids` can be asked for."""
         if not self.usable:
-            return None
+            return np.zeros(len(units), bool)
+        units = pa.array(units, pa.string())
+        special = pc.match_substring(units, "<|")
+        return pc.and_not(pc.match_substring_regex(units, _PLAIN), special).to_numpy(zero_copy_only=False)
+
+    def _learn(self, parts: list[str]) -> None:
+        spelled = np.frombuffer(_BETWEEN.join(parts).encode(), np.uint8)
+        spelled = self.letters[spelled].tobytes().decode("utf-32-le").split(_BETWEEN)
+        tokenize = self.model.tokenize
+        ids, lens = [], []
+        for part in spelled:
+            tokens = tokenize(part)
+            lens.append(len(tokens))
+            ids += [t.id for t in tokens]
+        lens = np.array(lens, np.int64)
+        self.memo.add(parts, np.array(ids, np.uint32), np.cumsum(lens) - lens, lens)
+
+    def ids(self, units: list[str]) -> Ragged:
+        """Ids of each of the plain ``units``; only their places if lengths alone are kept."""
+        if not units:
+            return Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         memo = self.memo
-        if word := _WORD.fullmatch(unit):
-            word, marks = word.groups()
-            if self.lower:
-                word = word.lstrip(" ").lower()
-            ids = memo.get(word) or self._ask(word)
-            return ids + (memo.get(marks) or self._ask(marks)) if marks else ids
-        if not _PLAIN.fullmatch(unit):
-            return None
-        if self.lower:
-            unit = unit.lower()
-        parts = self.pattern.findall(unit)
-        if len(parts) == 1:
-            return memo.get(parts[0]) or self._ask(parts[0])
-        return [i for part in parts for i in memo.get(part) or self._ask(part)]
+        text = _BETWEEN.join(units)
+        found = pa.array(self.pattern.findall(text.lower() if self.lower else text), pa.string()).dictionary_encode()
+        parts = found.dictionary.to_pylist()
+        if _BETWEEN not in memo.rows:
+            memo.add([_BETWEEN], *_flat([[]]))
+        rows = memo.find(parts, self._learn)[found.indices.to_numpy(zero_copy_only=False)]
+        values, starts = memo.ids(rows)
+        ends = np.flatnonzero(rows == memo.rows[_BETWEEN])
+        return Ragged(values, np.concatenate([starts[:1], starts[ends], starts[-1:]]))
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of ids in a row, with the place and length of each."""
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    values = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+    return values, np.cumsum(lens) - lens, lens
 
 
 class UnitEncoder:
@@ -137,66 +212,32 @@ class UnitEncoder:
 
     def __init__(self, path: str, lengths_only: bool = False, memo_units: int = MEMO_UNITS):
         self.tokenizer = load(path)
-        self.lengths_only = lengths_only
         self.memo_units = memo_units
         special = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [x.content for x in special]
         pre = self.tokenizer.pre_tokenizer
         # a pattern that drops white space restarts at every space; a byte-level one keeps it
         self.drops_space = "ByteLevel" not in type(pre).__name__
-        self.pretokens = Pretokens(self.tokenizer, self.drops_space)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.lens = np.zeros(1 << 12, np.int64)
-        self.at = np.zeros(1 << 12, np.int64)
-        self.pool = np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _encode(self, units: list[str]) -> list[list[int]]:
-        if len(self.pretokens.memo) > self.memo_units:
-            self.pretokens.memo.clear()
-        ids = list(map(self.pretokens.cut, units))
-        other = [i for i, x in enumerate(ids) if x is None]
-        if other:
-            found = self.tokenizer.encode_batch_fast([units[i] for i in other], add_special_tokens=False)
-            for i, x in zip(other, found, strict=True):
-                ids[i] = x.ids
-        return ids
+        self.pretokens = Pretokens(self.tokenizer, self.drops_space, lengths_only)
+        self.memo = Memo(lengths_only)
 
     def _learn(self, units: list[str]) -> None:
-        for start in range(0, len(units), 20_000):
-            some = units[start : start + 20_000]
-            ids = self._encode(some)
-            row = len(self.rows)
-            self.rows.update(zip(some, range(row, row + len(some)), strict=True))
-            while len(self.lens) < len(self.rows):
-                self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.lens[row : row + len(ids)] = lens
-            if self.lengths_only:
-                continue
-            new = int(lens.sum())
-            while self.used + new > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, new)
-            self.pool[self.used : self.used + new] = flat
-            self.at[row : row + len(ids)] = self.used + np.cumsum(lens) - lens
-            self.used += new
-
-    def _rows(self, units: list[str]) -> np.ndarray:
-        rows = self.rows
-        new = [u for u in units if u not in rows]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(rows.__getitem__, units), np.int64, len(units))
+        """Plain units by parts, the others by the library."""
+        if len(self.pretokens.memo.rows) > self.memo_units:
+            self.pretokens.memo.clear()
+        plain = self.pretokens.plain(units)
+        known = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        values, starts = self.pretokens.ids(known)
+        self.memo.add(known, values, starts[:-1], np.diff(starts))
+        if len(known) < len(units):
+            other = [u for u, p in zip(units, plain.tolist(), strict=True) if not p]
+            found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+            self.memo.add(other, *_flat([x.ids for x in found]))
 
     def unit_rows(self, texts: pa.Array) -> Ragged:
         """Rows of the memo for the units of each text; valid until the next call."""
-        if len(self.rows) > self.memo_units:
-            self._reset()
+        if len(self.memo.rows) > self.memo_units:
+            self.memo.clear()
         odd = np.zeros(len(texts), bool)
         if not self.drops_space:
             odd |= pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
@@ -210,14 +251,20 @@ class UnitEncoder:
         codes = encoded.indices.to_numpy(zero_copy_only=False)
         pieces = encoded.dictionary
         spaced = pc.binary_join_element_wise(" ", pieces, "") if len(pieces) else pieces
-        rows = self._rows(spaced.to_numpy(zero_copy_only=False).tolist())[codes]
+        rows = self.memo.find(spaced.to_pylist(), self._learn)[codes]
         first = starts[:-1]
         if len(first):
             heads, which = np.unique(codes[first], return_inverse=True)
-            rows[first] = self._rows(pieces.take(pa.array(heads)).to_pylist())[which]
+            rows[first] = self.memo.find(pieces.take(pa.array(heads)).to_pylist(), self._learn)[which]
         if odd.any():
             # texts that units would not give exactly: pieces between safe places instead
-            parts = {i: self._rows(safe_pieces(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()}
+            which = np.flatnonzero(odd).tolist()
+            cuts = [safe_pieces(texts[i].as_py()) for i in which]
+            cut = pa.array([*chain.from_iterable(cuts)], pa.string()).dictionary_encode()
+            found = self.memo.find(cut.dictionary.to_pylist(), self._learn)
+            found = found[cut.indices.to_numpy(zero_copy_only=False)]
+            ends = np.cumsum([len(c) for c in cuts])
+            parts = dict(zip(which, np.split(found, ends[:-1]), strict=True))
             runs = [parts.get(i, rows[a:b]) for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
             starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
             rows = np.concatenate(runs)
@@ -226,11 +273,10 @@ class UnitEncoder:
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
         rows, starts = self.unit_rows(texts)
-        return summed(self.lens[rows], starts)
+        return summed(self.memo.lens[rows], starts)
 
     def ids(self, texts: pa.Array) -> Ragged:
         """Ids of each text."""
         rows, starts = self.unit_rows(texts)
-        lens = self.lens[rows]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        return Ragged(gathered(self.pool, self.at[rows], lens), ends[starts])
+        values, ends = self.memo.ids(rows)
+        return Ragged(values, ends[starts])

@@ -1,5 +1,6 @@
 """Token operators against the tokenizers library."""
 
+import collections
 import functools
 import hashlib
 import random
@@ -43,6 +44,45 @@ def test_units_give_the_librarys_ids(path, strings):
         assert [values[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == expected
 
 
+class Counted:
+    """Passes calls on and counts them by name, with the items of their first argument."""
+
+    def __init__(self, inner):
+        self.inner, self.calls, self.items = inner, collections.Counter(), collections.Counter()
+
+    def __getattr__(self, name):
+        def call(first, *args, **kwargs):
+            self.calls[name] += 1
+            self.items[name] += len(first)
+            return getattr(self.inner, name)(first, *args, **kwargs)
+
+        return call
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_units_are_cut_many_at_once(path):
+    encoder = UnitEncoder(path)
+    pattern = encoder.pretokens.pattern = Counted(encoder.pretokens.pattern)
+    texts = [" ".join(f"end{i}.\nNext{j}, (x)" for j in range(100)) for i in range(30)]
+    values, starts = encoder.ids(pa.array(texts))
+    assert [values[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [library(path, t) for t in texts]
+    assert 0 < sum(pattern.calls.values()) <= 2  # units, and first units of texts
+
+
+@pytest.mark.parametrize("lengths_only", [False, True])
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_what_stands_between_units_is_no_part_of_them(path, lengths_only):
+    encoder = UnitEncoder(path, lengths_only, memo_units=3)
+    texts = ["", "\x00", "a\x00b c", "c\n", "\n \n", "", "A<|b|> <| d", "it's  \x00 \x00", " ", "é. \n\nÉ"]
+    for _ in range(2):
+        expected = [library(path, t) for t in texts]
+        assert encoder.lengths(pa.array(texts)).tolist() == list(map(len, expected))
+        if not lengths_only:
+            assert encoder.ids(pa.array(texts)).values.tolist() == [i for x in expected for i in x]
+        texts = texts[::-1] + [t + " x\x00" for t in texts]
+    assert encoder.ids(pa.array([], pa.string())).starts.tolist() == [0]
+
+
 def test_long_texts_are_cut_at_safe_places():
     text = "some words  here\n" * 9000
     pieces = safe_pieces(text, 1000)
