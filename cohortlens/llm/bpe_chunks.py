@@ -50,9 +50,9 @@ def chunk_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     rolled = _GEAR[data]
     span = 1
     while span < WINDOW:  # the hash of a window from those of its halves
-        rolled[span:] += rolled[:-span].copy() << np.uint32(span)
+        rolled[span:] += rolled[:-span] << np.uint32(span)
         span *= 2
-    found = np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS) == 0) + 1
+    found = np.flatnonzero(rolled < np.uint32(1 << 32 - CUT_BITS)) + 1
     found = found[found < size]
     # the window must lie inside the text
     found = found[found - ends[np.searchsorted(ends, found, "right") - 1] >= WINDOW]
@@ -94,6 +94,18 @@ class Chunk(NamedTuple):
     lens: np.ndarray
 
 
+_NONE = np.zeros(0, np.uint32)
+
+
+class Window(NamedTuple):
+    """A place where chunks meet, with the unit on either side of it, and the ids that these
+    units have in their chunks."""
+
+    text: str
+    left: np.ndarray
+    right: np.ndarray
+
+
 class ChunkEncoder:
     """Ids of texts from remembered chunks and repaired joins."""
 
@@ -122,50 +134,49 @@ class ChunkEncoder:
         found = [self.memo[t] for t in texts]
         return [found[i] for i in coded.indices.to_pylist()]
 
-    def _repaired(self, windows: list[tuple[str, str, str]]) -> list[np.ndarray | None]:
-        """Ids of the middle of each (unit, open text, unit); None if the units beside it
-        come out differently than alone."""
-        def alone(units):
-            return [x.ids for x in self.units.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-        together = alone(["".join(w) for w in windows])
-        left, right = alone([w[0] for w in windows]), alone([w[2] for w in windows])
+    def _repaired(self, windows: list[Window]) -> list[np.ndarray | None]:
+        """Ids of the middle of each window; None if the units beside it come out differently
+        than alone."""
+        together = self.units.tokenizer.encode_batch_fast([w.text for w in windows], add_special_tokens=False)
         out = []
-        for ids, a, b in zip(together, left, right, strict=True):
-            end = len(ids) - len(b)
-            agrees = len(a) <= end and ids[: len(a)] == a and ids[end:] == b
-            out.append(np.array(ids[len(a) : end], np.uint32) if agrees else None)
+        for found, w in zip(together, windows, strict=True):
+            ids = found.ids
+            start, end = len(w.left), len(ids) - len(w.right)
+            agrees = start <= end and ids[:start] == w.left.tolist() and ids[end:] == w.right.tolist()
+            out.append(np.array(ids[start:end], np.uint32) if agrees else None)
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, those of encoding it as a whole."""
         _, first, chunk_texts = chunk_bounds(texts)
         chunks = self._chunks(chunk_texts)
-        windows: list[tuple[str, str, str]] = []
+        windows: list[Window] = []
         plans: list[list] = []
         for start, end in zip(first.tolist(), first[1:].tolist(), strict=False):
             parts: list = []
-            before, opened, alone = "", None, None  # unit before, open text, its ids if not joined yet
+            # the unit before and its ids, the open text, its ids if not joined yet
+            before, left, opened, alone = "", _NONE, None, None
             for c in chunks[start:end]:
                 if len(c.lens) == 1:
                     opened, alone = (c.text, c.ids) if opened is None else (opened + c.text, None)
                     continue
-                head, tail = int(c.lens[0]), int(c.lens[-1])
+                head, tail = int(c.lens[0]), len(c.ids) - int(c.lens[-1])
                 last = c.text.rsplit(" ", 2)
                 if opened is None:
-                    parts.append(c.ids[: len(c.ids) - tail])
+                    parts.append(c.ids[:tail])
                 else:
                     units = c.text.split(" ", 2)
+                    after, right = (" " + units[1], c.ids[head : head + int(c.lens[1])]) if len(units) > 2 else ("", _NONE)
                     parts.append(len(windows))
-                    windows.append((before, opened + units[0], " " + units[1] if len(units) > 2 else ""))
-                    parts.append(c.ids[head : len(c.ids) - tail])
-                opened, alone = " " + last[-1], c.ids[len(c.ids) - tail :]
-                before = " " + last[-2] if len(last) > 2 else ""
+                    windows.append(Window(before + opened + units[0] + after, left, right))
+                    parts.append(c.ids[head:tail])
+                opened, alone = " " + last[-1], c.ids[tail:]
+                before, left = (" " + last[-2], c.ids[tail - int(c.lens[-2]) : tail]) if len(last) > 2 else ("", _NONE)
             if alone is not None:
                 parts.append(alone)
             elif opened is not None:
                 parts.append(len(windows))
-                windows.append((before, opened, ""))
+                windows.append(Window(before + opened, left, _NONE))
             plans.append(parts)
         repaired = self._repaired(windows)
         self.joins += len(windows)

@@ -110,6 +110,25 @@ def test_a_join_without_agreement_is_encoded_whole(monkeypatch):
     assert encoder.whole == 1
 
 
+def test_a_join_asks_the_library_once():
+    encoder = bpe_chunks.ChunkEncoder(WORD)
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} and. more" for i in range(3000))
+    encoder.encode(pa.array([text]))  # all units are known from here on
+    library_calls = encoder.units.tokenizer = Counted(encoder.units.tokenizer)
+    before = encoder.joins
+    assert encoder.encode(pa.array([text]))[0].tolist() == library(WORD, text)
+    assert encoder.joins - before > 10 and library_calls.items["encode_batch_fast"] == encoder.joins - before
+
+
+def test_units_beside_a_join_must_come_out_as_in_their_chunks():
+    encoder = bpe_chunks.ChunkEncoder(WORD)
+    ids = [np.array(library(WORD, t), np.uint32) for t in (" one", " three", " other")]
+    window = bpe_chunks.Window(" one two three", ids[0], ids[1])
+    wrong = [window._replace(left=ids[2]), window._replace(right=ids[2]), window._replace(text=" one three", left=ids[2])]
+    found = encoder._repaired([window, *wrong])
+    assert found[0].tolist() == library(WORD, " two") and found[1:] == [None] * 3
+
+
 def test_encode_operator(spark, docs, odd_texts):
     rows = bpe_chunks.encode(docs, WORD, ["doc_id", "source"], tasks=3).collect()
     assert len(rows) == len(odd_texts) + 2
