@@ -191,7 +191,7 @@ class Pretokens:
         memo = self.memo
         text = _BETWEEN.join(units)
         found = pa.array(self.pattern.findall(text.lower() if self.lower else text), pa.string()).dictionary_encode()
-        parts = found.dictionary.to_pylist()
+        parts = _strings(found.dictionary)
         if _BETWEEN not in memo.rows:
             memo.add([_BETWEEN], *_flat([[]]))
         rows = memo.find(parts, self._learn)[found.indices.to_numpy(zero_copy_only=False)]
@@ -200,6 +200,10 @@ class Pretokens:
         return Ragged(values, np.concatenate([starts[:1], starts[ends], starts[-1:]]))
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lists of ids in a row, with the place and length of each."""
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -251,17 +255,17 @@ class UnitEncoder:
         codes = encoded.indices.to_numpy(zero_copy_only=False)
         pieces = encoded.dictionary
         spaced = pc.binary_join_element_wise(" ", pieces, "") if len(pieces) else pieces
-        rows = self.memo.find(spaced.to_pylist(), self._learn)[codes]
+        rows = self.memo.find(_strings(spaced), self._learn)[codes]
         first = starts[:-1]
         if len(first):
             heads, which = np.unique(codes[first], return_inverse=True)
-            rows[first] = self.memo.find(pieces.take(pa.array(heads)).to_pylist(), self._learn)[which]
+            rows[first] = self.memo.find(_strings(pieces.take(pa.array(heads))), self._learn)[which]
         if odd.any():
             # texts that units would not give exactly: pieces between safe places instead
             which = np.flatnonzero(odd).tolist()
             cuts = [safe_pieces(texts[i].as_py()) for i in which]
             cut = pa.array([*chain.from_iterable(cuts)], pa.string()).dictionary_encode()
-            found = self.memo.find(cut.dictionary.to_pylist(), self._learn)
+            found = self.memo.find(_strings(cut.dictionary), self._learn)
             found = found[cut.indices.to_numpy(zero_copy_only=False)]
             ends = np.cumsum([len(c) for c in cuts])
             parts = dict(zip(which, np.split(found, ends[:-1]), strict=True))
